@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import decontam, quality
 
 QUERIES = {
+    "op7_decontamination_index": decontam.query,
     "op8_quality_mcd": quality.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_decontamination_index": decontam.ORACLE,
+}

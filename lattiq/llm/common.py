@@ -77,3 +77,26 @@ def local_tmp() -> tempfile.TemporaryDirectory:
     """A folder of a task's own, removed when the task leaves it."""
     os.makedirs(tempfile.gettempdir(), exist_ok=True)
     return tempfile.TemporaryDirectory(prefix="lattiq-")
+
+
+def pieces(batches, column: str = "text", limit: int = 8 << 20):
+    """Slices of Arrow record batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        i = batch.schema.get_field_index(column)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(i)), 0).cast(pa.int64()).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = int(size[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + limit, side="right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def texts_of(batch, column: str = "text") -> list[str]:
+    return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lattiq.llm import quality
+from lattiq.llm import decontam, jaccard, packing, quality, secret_scan
 from lattiq.llm.common import Scratch
 
-STAGES = [("quality", quality.stage)]
+STAGES = [
+    ("quality", quality.stage),
+    ("jaccard", jaccard.stage),
+    ("decontamination", decontam.stage),
+    ("secrets", secret_scan.stage),
+    ("packing", packing.stage),
+]
 #: No SQL twin: near-duplicate links and packing have no DuckDB form; tests/llm compare with a plain-Python version.
 ORACLE_SQL = None
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontam, quality
+from . import decontam, jaccard, packing, quality, secret_scan
 
 QUERIES = {
+    "op2_best_fit_packing": packing.query,
+    "op4_secret_trigrams": secret_scan.query,
     "op7_decontamination_index": decontam.query,
     "op8_quality_mcd": quality.query,
+    "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLES: dict[str, str] = {
+    "op2_best_fit_packing": packing.query,
+    "op4_secret_trigrams": secret_scan.query,
     "op7_decontamination_index": decontam.ORACLE,
+    "op10_ngram_jaccard_join": jaccard.ORACLE,
 }

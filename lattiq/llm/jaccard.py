@@ -12,7 +12,9 @@ The global order of shingles is by document frequency (in steps of a quarter oct
    fragments at quantiles; the overlap of a pair is counted in each fragment separately and summed per pair.
 4. A group of thousands of near copies needs no pair for each two of them: in each of some rounds every document is
    compared with one pivot per prefix shingle, and links contract the graph. All pairs across different components that
-   still share a prefix shingle are then compared, so no link between components is lost and none is guessed.
+   still share a prefix shingle are then compared, so no link between components is lost and none is guessed. Bounds
+   leave out pairs that can't reach the threshold: the overlap is at most what either set has from the shared shingle on
+   (positional filter), less the shingles right after it that the other set lacks.
 
 Exact copies (equal word sequences) are one class from the start. Nothing is collected on the driver but the fragments'
 few limits.
@@ -44,6 +46,8 @@ THRESHOLD = 75
 FRAGMENT_BYTES, FRAGMENTS = 6 << 20, 32
 #: Cuts of the global order for counting overlaps.
 CUTS = 4
+#: Shingles after a shared one that are looked at before a pair across components becomes a candidate.
+AHEAD = 32
 #: Rounds of comparisons with pivots before all pairs across components are compared.
 ROUNDS = 4
 SLICE = 4 << 20
@@ -253,8 +257,19 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         mark = now
 
 
-def _fits(a: str, b: str, threshold: int) -> Column:
-    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+def _fits(threshold: int) -> Column:
+    """Whether sizes na, nb and what is left from the shared shingle on (ra, rb) allow the threshold."""
+    sizes = 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
+    return sizes & ((100 + threshold) * F.least("ra", "rb") >= threshold * (F.col("na") + F.col("nb")))
+
+
+def _fits_ahead(threshold: int) -> Column:
+    """The same after a look at the next shingles fa, fb; up to ``seen`` both lists are whole."""
+    end = lambda f: F.when(F.size(f) < AHEAD, F.lit((1 << 63) - 1)).otherwise(F.element_at(f, -1))
+    seen = F.least(end("fa"), end("fb"))
+    lacks = lambda x, y: F.size(F.array_except(F.filter(x, lambda v: v <= seen), F.col(y)))
+    most = F.least(F.col("ra") - lacks("fa", "fb"), F.col("rb") - lacks("fb", "fa"))
+    return (100 + threshold) * most >= threshold * (F.col("na") + F.col("nb"))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, cuts: list[int], threshold: int, scratch: Scratch) -> DataFrame:
@@ -276,7 +291,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
     made = scratch.table(sets(docs, threshold, width, fragments), "sets")
     meta = made.where("prefix is null").select("doc_id", "key", "n")
     classes = made.where("prefix is not null").select("key", "n", "prefix", "tokens")
-    postings = classes.select("key", "n", F.explode("prefix").alias("t"))
+    postings = classes.select("key", "n", F.size("tokens").alias("m"), F.posexplode("prefix").alias("i", "t")).select("key", "n", "t", (F.col("m") - F.col("i")).alias("rest"))
     shared = postings.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t")
     postings = scratch.table(postings.join(shared, "t"), "postings")
     in_order = F.explode("tokens").alias("x")
@@ -291,15 +306,21 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
             open_ = scratch.table(open_.join(mixed, "t"), f"open{r}")
             if open_.isEmpty():
                 break
-        x = open_.select("t", F.col("key").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
+        names = {"key": "a", "n": "na", "c": "ca", "rest": "ra"}
         if r < rounds:
-            pivot = open_.groupBy("t").agg(F.min_by(F.struct("key", "n", "c"), F.xxhash64("key", F.lit(r))).alias("p"))
-            y = pivot.select("t", F.col("p.key").alias("b"), F.col("p.n").alias("nb"), F.col("p.c").alias("cb"))
-            pairs = x.join(y, "t").where("ca <> cb")
+            best = F.col("rest").cast("long") if not r else F.xxhash64("key", F.lit(r))
+            y = open_.groupBy("t").agg(F.max_by(F.struct("key", "n", "c", "rest"), best).alias("p"))
+            y = y.select("t", *[F.col(f"p.{k}").alias(v.replace("a", "b")) for k, v in names.items()])
+            x = open_.select("t", *[F.col(k).alias(v) for k, v in names.items()])
+            pairs = x.join(y, "t").where("ca <> cb").where(_fits(threshold))
         else:
-            y = x.withColumnsRenamed({"a": "b", "na": "nb", "ca": "cb"})
-            pairs = x.join(y, "t").where("a < b and ca <> cb")
-        pairs = pairs.where(_fits("na", "nb", threshold)).select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+            ahead = F.slice("tokens", F.size("tokens") - F.col("rest") + 2, AHEAD).alias("f")
+            names["f"] = "fa"
+            x = open_.join(classes.select("key", "tokens"), "key").select("t", "key", "n", "c", "rest", ahead)
+            x = scratch.table(x, "ahead").select("t", *[F.col(k).alias(v) for k, v in names.items()])
+            y = x.select("t", *[F.col(v).alias(v[:-1] + "b" if v != "a" else "b") for v in names.values()])
+            pairs = x.join(y, "t").where("a < b and ca <> cb").where(_fits(threshold) & _fits_ahead(threshold))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = scratch.table(pairs, f"pairs{r}")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from . import decontam, jaccard, packing, quality, secret_scan
+from . import decontam, html_text, jaccard, license_scan, packing, quality, secret_scan
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
+    "op3_license_fuzzy": license_scan.query,
     "op4_secret_trigrams": secret_scan.query,
     "op7_decontamination_index": decontam.query,
     "op8_quality_mcd": quality.query,
+    "op9_html_line_blocks": html_text.query,
     "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLES: dict[str, str] = {
     "op2_best_fit_packing": packing.query,
+    "op3_license_fuzzy": license_scan.query,
     "op4_secret_trigrams": secret_scan.query,
     "op7_decontamination_index": decontam.ORACLE,
+    "op9_html_line_blocks": html_text.query,
     "op10_ngram_jaccard_join": jaccard.ORACLE,
 }

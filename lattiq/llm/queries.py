@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, jaccard, license_scan, packing, pii, quality, secret_scan
+from . import decontam, html_text, jaccard, license_scan, packing, pii, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op2_best_fit_packing": packing.query,
     "op3_license_fuzzy": license_scan.query,
     "op4_secret_trigrams": secret_scan.query,
+    "op5_suffix_columns": suffix_dedup.query,
     "op6_pii_boosted": pii.query,
     "op7_decontamination_index": decontam.query,
     "op8_quality_mcd": quality.query,
@@ -18,6 +19,7 @@ ORACLES: dict[str, str] = {
     "op2_best_fit_packing": packing.query,
     "op3_license_fuzzy": license_scan.query,
     "op4_secret_trigrams": secret_scan.query,
+    "op5_suffix_columns": suffix_dedup.ORACLE,
     "op7_decontamination_index": decontam.ORACLE,
     "op9_html_line_blocks": html_text.query,
     "op10_ngram_jaccard_join": jaccard.ORACLE,

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Scratch, pieces, small, texts_of
+from .common import Scratch, pieces, small, texts_of, tidy
 
 WIDTH = 5
 #: Similarity, in hundredths.
@@ -69,6 +69,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"], _tables["byte"]
 
 
+def forget() -> None:
+    """Drops the tables; a task calls it at its end."""
+    _tables.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(33))) * _U(0xFF51AFD7ED558CCD)
     x = (x ^ (x >> _U(33))) * _U(0xC4CEB9FE1A85EC53)
@@ -172,6 +177,7 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
                 order = np.argsort(part, kind="stable")
                 rows += [(p, None, None, None, b) for p, b in _blocks(part[order], key[order], h[order].astype(np.uint32))]
             yield _batch(one, [pa.int32(), *kinds, pa.binary()], rows)
+        forget()
 
     def count(batches):
         blocks: dict[int, list[bytes]] = {}
@@ -232,8 +238,8 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
                 rows = []
         yield _batch(three, k3, rows)
 
-    out = docs.select("doc_id", "text").mapInArrow(shred, one).repartition(fragments, "part")
-    return out.mapInArrow(count, two).repartition(slots, "slot").mapInArrow(prefixes, three)
+    out = docs.select("doc_id", "text").mapInArrow(tidy(shred), one).repartition(fragments, "part")
+    return out.mapInArrow(tidy(count), two).repartition(slots, "slot").mapInArrow(tidy(prefixes), three)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of
+from .common import pieces, texts_of, tidy
 
 #: Phrases and labels that the contract fixes.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -190,7 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = judgements(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), kinds)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Scratch, pieces, texts_of
+from .common import Scratch, pieces, texts_of, tidy
 from .tokens import chunks, definition_of
 
 CAPACITY = 2048
@@ -115,7 +115,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, wi
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, cols, kinds)], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False, scratch: Scratch | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of
+from .common import pieces, texts_of, tidy
 from .trigrams import Index, query_of, trigrams_in
 
 #: Kinds that the contract fixes, in its order: expression, and which matches stay.
@@ -93,7 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [digest(x) for x in spans(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string() if k > 2 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(work, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     put("n_chars", len)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tidy(work), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, local_tmp, pieces, small, text_of
-from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblock
+from .common import Scratch, local_tmp, pieces, small, text_of, tidy
+from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblock, forget
 
 LENGTH, GRAM = 50, 20
 PARTS = LENGTH - GRAM + 1
@@ -238,6 +238,7 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             once = np.concatenate(([True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (token[1:] != token[:-1]))) if len(by) else np.empty(0, bool)
             got = list(_blocks(part[once], ids[row[once]], token[once]))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "block"])
+        forget()
 
     def count(batches):
         blocks: dict[int, list[bytes]] = {}
@@ -283,6 +284,7 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
                 s = slice(a, b)
                 got.append((int(part[a]), _pack(ids[row[s]], mark[row[s]], first[s] - begin[row[s]], size[s], data[_spread(first[s], size[s])])))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "block"])
+        forget()
 
     def decide(batches):
         blocks: dict[int, list[bytes]] = {}
@@ -313,10 +315,10 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             end = begin[np.append(new[1:], len(begin)) - 1] + LENGTH
             yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(h[new]), pa.array(begin[new]), pa.array(end)], names=["d", "h", "a", "b"])
 
-    repeated = rows.mapInArrow(minimisers, "part int, block binary").repartition(fragments, "part").mapInArrow(count, "d long, v binary")
+    repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary").repartition(fragments, "part").mapInArrow(tidy(count), "d long, v binary")
     repeated = repeated.groupBy("d").agg(F.collect_list("v").alias("v"))
     some = rows.join(repeated, "d").select("d", "h", "text", "v")
-    ranges = some.mapInArrow(segments, "part int, block binary").repartition(fragments, "part").mapInArrow(decide, "d long, h long, a long, b long")
+    ranges = some.mapInArrow(tidy(segments), "part int, block binary").repartition(fragments, "part").mapInArrow(tidy(decide), "d long, h long, a long, b long")
     return scratch.table(ranges.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("r")), "ranges").select("d", "h", "r.a", "r.b")
 
 

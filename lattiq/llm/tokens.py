@@ -6,15 +6,15 @@ one after the other. Most chunks come again and again; a worker keeps up to ``KE
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT = 800_000
-#: Marks that always form a token group of their own after a letter.
-TAIL = b".,!?;:|%&#*$"
-LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+KEPT = 350_000
+#: Where marks follow a word: they form a token group of their own there in any case.
+_WORD_END = re.compile(rb"[a-z0-9](?=[.,!?;:|%&#*$])")
 
 
 class Chunks:
@@ -50,19 +50,11 @@ class Chunks:
         if len(known) > KEPT:
             known.clear()
         raw = [t.encode() for t in texts]
-        # the tokenizer lowers letters itself; only its special tokens are told apart by case
-        cut = [(r if b"<|" in r else r.lower()).split() for r in raw]
-        new = set().union(*cut) - known.keys()
-        tails = {}
-        for c in new:
-            stem = c.rstrip(TAIL)
-            if stem != c and stem and stem[-1] in LETTERS:
-                tails[c] = (stem, c[len(stem) :])
-        missing = [c for c in (new - tails.keys()).union(*tails.values()) if c not in known]
+        # the tokenizer lowers letters and parts marks from words itself; only its special tokens are not to be touched
+        cut = [(r if b"<|" in r else _WORD_END.sub(rb"\g<0> ", r.lower())).split() for r in raw]
+        missing = list(set().union(*cut) - known.keys())
         for k in range(0, len(missing), 20_000):
             self._encode(missing[k : k + 20_000])
-        for c, (stem, tail) in tails.items():
-            known[c] = known[stem] + known[tail]
         return [b"".join([known[c] for c in x]) for x in cut]
 
 

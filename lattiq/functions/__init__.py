@@ -1 +1 @@
-"""Spark-first object-query engine."""
+"""Values and literals."""

@@ -1 +1 @@
-"""Spark-first object-query engine."""
+"""Filters, joins, order, pages, nesting and aggregation."""

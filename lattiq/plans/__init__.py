@@ -1 +1 @@
-"""Spark-first object-query engine."""
+"""Queries, batches, prepared queries and statistics."""

@@ -1 +1 @@
-"""Spark-first object-query engine."""
+"""Where rows come from."""

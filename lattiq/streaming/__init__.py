@@ -1 +1 @@
-"""Spark-first object-query engine."""
+"""Results row by row."""

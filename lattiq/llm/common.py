@@ -69,8 +69,20 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, bad: DataFrame, *marked: str) -> DataFrame:
+    """``docs`` without the rows whose doc_id and hash of the columns ``marked`` are in ``bad`` (_d, _b)."""
+    mark, d, b = (fresh(docs, x) for x in ("_mark", "_d", "_b"))
+    hashed = docs.withColumn(mark, F.xxhash64(*[F.coalesce(F.col(c), F.lit("")) if c == "text" else F.col(c) for c in marked]))
+    bad = small(bad.select(F.col("_d").alias(d), F.col("_b").alias(b)))
+    return hashed.join(bad, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(mark) == F.col(b)), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def local_tmp() -> tempfile.TemporaryDirectory:

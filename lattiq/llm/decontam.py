@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, small, text_of
+from .common import Scratch, small, text_of, without
 
 WINDOW = 13
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,8 +129,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=scratch).where("contaminated")
     bad = scratch.table(bad.select(F.col("doc_id").alias("_d"), F.col("h").alias("_b")).distinct(), "bad")
     scratch.drop("index")
-    out = docs.withColumn("_h", F.xxhash64(text_of()))
-    return out.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_b")), "left_anti").select(*docs.columns)
+    return without(docs, bad, "text")
 
 
 ORACLE = r"""

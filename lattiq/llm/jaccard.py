@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Scratch, pieces, small, texts_of, tidy
+from .common import Scratch, fresh, pieces, small, texts_of, tidy
 
 WIDTH = 5
 #: Similarity, in hundredths.
@@ -354,13 +354,15 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     got = groups(docs, scratch=scratch).where("doc_id is not null").select("doc_id", "key", "component_id")
     got = scratch.table(got, "got")
     gone = scratch.table(got.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    out = docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(small(gone), "doc_id", "left_anti").select(*names)
     again = scratch.table(got.groupBy("doc_id", "key").agg(F.count("*").alias("m")).where("m > 1").select("doc_id").distinct(), "again")
     if again.isEmpty():
         return out
+    mark = fresh(docs, "_mark")
     words = F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+", -1), "")
-    once = out.join(again, "doc_id", "left_semi").withColumn("_h", F.xxhash64(words)).dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
-    return out.join(small(again), "doc_id", "left_anti").select(*docs.columns).union(once)
+    once = out.join(again, "doc_id", "left_semi").withColumn(mark, F.xxhash64(words)).dropDuplicates(["doc_id", mark]).select(*names)
+    return out.join(small(again), "doc_id", "left_anti").select(*names).union(once)
 
 
 ORACLE = r"""

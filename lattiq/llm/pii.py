@@ -164,10 +164,10 @@ def _overlap(x: Column, y: Column) -> Column:
 
 
 def find(docs: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` columns, ``base`` and ``more``: arrays of (a, k, b) in order; more has the scores too."""
+    """_keep (a struct of the columns ``keep``), _t (the text), ``base`` and ``more``: arrays of (a, k, b) in order; more has the scores too."""
     spark = docs.sparkSession
     trees = model(spark)
-    df = docs.select(*keep, text_of().alias("_t")).withColumn("_any", F.col("_t").rlike(MARK))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep"), text_of().alias("_t")).withColumn("_any", F.col("_t").rlike(MARK))
     df = located(df, "_t", BASE | MORE)
     bare = lambda xs: F.transform(xs, lambda x: F.struct(x["a"], x["k"], x["b"]))
     base = F.concat(*[_ruled(k) for k in BASE])
@@ -183,7 +183,7 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
     df = df.withColumn("_c", F.filter("_c", lambda x: ~F.exists("base", lambda y: _overlap(x, y))))
     better = lambda x, y: _overlap(x, y) & ((y["score"] > x["score"]) | (y["score"] == x["score"]) & (F.struct(y["a"], y["k"]) < F.struct(x["a"], x["k"])))
     df = df.withColumn("more", F.sort_array(F.filter("_c", lambda x: ~F.exists("_c", lambda y: better(x, y)))))
-    return df.select(*keep, "_t", "base", "more")
+    return df.select("_keep", "_t", "base", "more")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def scan(docs: DataFrame) -> DataFrame:
     told = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["a"].cast("string"), x["b"].cast("string"))), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     both = F.sort_array(F.concat("base", F.transform("more", lambda x: F.struct(x["a"], x["k"], x["b"]))))
-    return df.select("doc_id", *map(count, range(len(BASE))), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(both).alias("spans"))
+    return df.select("_keep.doc_id", *map(count, range(len(BASE))), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(both).alias("spans"))
 
 
 def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
@@ -207,7 +207,8 @@ def redact(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
         return F.struct(new.alias("t"), F.greatest(s["at"], x["b"]).alias("at"))
 
     text = F.aggregate(spans, zero, step, lambda s: F.concat(s["t"], F.substring(F.col("_t"), s["at"] + 1, F.length("_t"))))
-    return df.withColumn("text", F.when(F.size(spans) > 0, text).otherwise(F.col("text"))).select(*docs.columns)
+    new = F.when(F.size(spans) > 0, text).otherwise(F.col("_keep.text")).alias("text")
+    return df.select(*[new if c == "text" else F.col(f"_keep.`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

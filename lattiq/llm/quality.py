@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, small, text_of
+from .common import Scratch, small, text_of, without
 
 SPACE = r"[\x20\x09-\x0D]+"
 GRID = 256
@@ -189,7 +189,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go. Verdicts join back on doc_id and the text's hash, so repeated rows stay."""
     scratch = Scratch(spark, "quality")
-    tagged = docs.withColumn("_h", F.xxhash64(text_of(), F.col("lang"), F.col("source")))
-    bad = judge(docs.select(F.struct("doc_id", F.xxhash64(text_of(), F.col("lang"), F.col("source")).alias("h")).alias("doc_id"), "text", "lang", "source"), scratch=scratch).where(~F.col("kept"))
-    bad = scratch.table(bad.select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_b")).distinct(), "bad")
-    return tagged.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_b")), "left_anti").select(*docs.columns)
+    mark = F.xxhash64(text_of(), F.col("lang"), F.col("source"))
+    rows = docs.select(F.struct("doc_id", mark.alias("h")).alias("doc_id"), "text", "lang", "source")
+    bad = judge(rows, scratch=scratch).where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_b")).distinct()
+    return without(docs, scratch.table(bad, "bad"), "text", "lang", "source")

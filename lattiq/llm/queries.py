@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontam, html_text, jaccard, license_scan, packing, pii, quality, secret_scan, suffix_dedup
+from . import decontam, html_text, jaccard, license_scan, packing, pii, quality, secret_scan, suffix_dedup, token_order
 
 QUERIES = {
+    "op1_training_order": token_order.query,
     "op2_best_fit_packing": packing.query,
     "op3_license_fuzzy": license_scan.query,
     "op4_secret_trigrams": secret_scan.query,

@@ -21,6 +21,8 @@ class Chunks:
     def __init__(self, definition: str):
         self.tokenizer, self.known = Tokenizer.from_str(definition), {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        #: The narrowest kind of number that holds an id.
+        self.width = "<u2" if size <= 1 << 16 else "<u4"
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
     def _encode(self, missing: list[bytes]) -> None:

@@ -50,7 +50,7 @@ CUTS = 4
 AHEAD = 32
 #: Rounds of comparisons with pivots before all pairs across components are compared.
 ROUNDS = 4
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -60,7 +60,7 @@ _tables: dict[str, np.ndarray] = {}
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of an odd base, those of its inverse modulo 2**64, and a random number for each byte."""
     if len(_tables.get("up", ())) < size:
-        size = max(size, SLICE + (1 << 20))
+        size = max(size, SLICE + (1 << 18))
         up, down = np.full(size, _BASE, dtype=_U), np.full(size, pow(_BASE, -1, 1 << 64), dtype=_U)
         up[0] = down[0] = 1
         np.multiply.accumulate(up, out=up)
@@ -238,8 +238,8 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
                 rows = []
         yield _batch(three, k3, rows)
 
-    out = docs.select("doc_id", "text").mapInArrow(tidy(shred), one).repartition(fragments, "part")
-    return out.mapInArrow(tidy(count), two).repartition(slots, "slot").mapInArrow(tidy(prefixes), three)
+    out = docs.select("doc_id", "text").mapInArrow(tidy(shred), one).repartitionById(fragments, F.col("part"))
+    return out.mapInArrow(tidy(count), two).repartitionById(slots, F.col("slot")).mapInArrow(tidy(prefixes), three)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:

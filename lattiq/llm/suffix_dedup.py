@@ -4,10 +4,13 @@ a smaller id.
 Equal strings meet by a minimiser: the least hash among a window's ``GRAM``-byte parts. Runs of windows with one minimiser
 are segments of at most ``LENGTH + PARTS - 1`` bytes.
 
+Of exact copies only the one with the smallest id takes part; the others go whole. For the rest:
+
 1. Minimisers of all documents are dealt to fragments and counted; those of one document only can't be in a repeated
    string. The rest return to their documents.
-2. Their segments are dealt to fragments by minimiser, equal segments collapse to one with its smallest document, and the
-   fragment's collection gets a Burrows-Wheeler transform with common prefixes (``transform``): built column-wise from the
+2. Their segments are dealt to fragments by minimiser, equal segments collapse to one form with its smallest document, and the
+   collection of the fragment's forms that may share a window with another form (by hashes of windows; no other form can
+   change what a form's own smallest document is) gets a Burrows-Wheeler transform with common prefixes (``transform``): built column-wise from the
    right, each round inserts one symbol of every string. A round reads the transform and the prefixes of the round before
    in order and writes new ones; above ``IN_MEMORY`` bytes they are files in the task's own folder. Neighbours in suffix
    order with ``LENGTH`` common bytes are equal windows; the smallest document of such a group decides.
@@ -34,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, local_tmp, pieces, small, text_of, tidy
 from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblock, forget
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 PARTS = LENGTH - GRAM + 1
-SLICE = 2 << 20
+SLICE = 1 << 20
 IN_MEMORY = 64 << 20
 #: Stands for a missing doc_id: larger than any.
 LAST = (1 << 63) - 1
@@ -182,6 +185,21 @@ def smallest(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.nd
     return out
 
 
+def related(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = LENGTH) -> np.ndarray:
+    """Numbers of the strings that have a window whose hash another string has, too."""
+    up, down, byte = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, dtype=_U)
+    np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
+    count = length - window + 1
+    at, who = _spread(start, count), np.repeat(np.arange(len(start)), count)
+    h = _mixed((sums[at + window] - sums[at]) * down[at])
+    by = np.argsort(h)
+    h, who = h[by], who[by]
+    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    several = np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)
+    return np.unique(who[np.repeat(several, np.diff(np.append(new, len(h))))])
+
+
 def _pack(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> bytes:
     return b"".join([np.array([len(doc)], np.int64).tobytes(), doc.tobytes(), mark.tobytes(), at.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), data.tobytes()])
 
@@ -221,12 +239,14 @@ def _inside(first: np.ndarray, size: np.ndarray, low: np.ndarray, begin: np.ndar
 
 
 def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | None = None) -> DataFrame:
-    """(d, h, a, b): for each document with covered bytes its id, mark of its text, and ascending ranges a to b."""
+    """(d, h, a, b): for each document with covered bytes its id, mark of its text, and its maximal ranges a to b."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     if fragments is None:
         size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         fragments = min(max(FRAGMENTS, size // FRAGMENT_BYTES), 1 << 15)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= LENGTH)
+    copies = _copies(rows, scratch)
+    rows = rows.join(small(copies.select("d", "h")), ["d", "h"], "left_anti")
 
     def minimisers(batches):
         for batch in pieces(batches, limit=SLICE):
@@ -298,10 +318,14 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             form = np.array([number.setdefault(raw[b - s : b], len(number)) for b, s in zip(to.tolist(), size.tolist(), strict=True)])
             owner = np.full(len(number), LAST, dtype=np.int64)
             np.minimum.at(owner, form, doc)
-            length = np.array([len(k) for k in number])
+            forms, length = np.frombuffer(b"".join(number), np.uint8), np.array([len(k) for k in number])
             start = np.cumsum(length) - length
-            with local_tmp() as folder:
-                least = smallest(np.frombuffer(b"".join(number), np.uint8), start, length, owner, Path(folder))
+            least = np.repeat(owner, length)
+            near = related(forms, start, length)
+            if len(near):  # forms that may share a window with other forms meet in a transform
+                own, at_own = length[near], _spread(start[near], length[near])
+                with local_tmp() as folder:
+                    least[at_own] = smallest(forms[at_own], np.cumsum(own) - own, own, owner[near], Path(folder))
             windows = size - LENGTH + 1
             which = np.repeat(np.arange(len(doc)), windows)
             hit = least[_spread(start[form], windows)] < doc[which]
@@ -314,12 +338,36 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (begin[1:] > begin[:-1] + LENGTH))))
             end = begin[np.append(new[1:], len(begin)) - 1] + LENGTH
             yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(h[new]), pa.array(begin[new]), pa.array(end)], names=["d", "h", "a", "b"])
+        forget()
 
-    repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary").repartition(fragments, "part").mapInArrow(tidy(count), "d long, v binary")
+    repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(count), "d long, v binary")
     repeated = repeated.groupBy("d").agg(F.collect_list("v").alias("v"))
     some = rows.join(repeated, "d").select("d", "h", "text", "v")
-    ranges = some.mapInArrow(tidy(segments), "part int, block binary").repartition(fragments, "part").mapInArrow(tidy(decide), "d long, h long, a long, b long")
-    return scratch.table(ranges.groupBy("d", "h").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("r")), "ranges").select("d", "h", "r.a", "r.b")
+    ranges = some.mapInArrow(tidy(segments), "part int, block binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(decide), "d long, h long, a long, b long")
+    grouped = ranges.groupBy("d", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
+    whole = copies.select("d", "h", F.array(F.lit(0).cast("long")).alias("a"), F.array("n").alias("b"))
+    return scratch.table(grouped.mapInArrow(tidy(merged), "d long, h long, a array<long>, b array<long>").union(whole), "ranges")
+
+
+def _copies(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(d, h, n): documents whose whole text stands in one of a smaller id, and their bytes."""
+    texts = scratch.table(rows.select("d", "h", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n")), "texts")
+    first = scratch.table(texts.groupBy("m").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last"), "first")
+    return scratch.table(texts.join(small(first), "m").where("d > first").select("d", "h", "n").distinct(), "copies")
+
+
+def merged(batches):
+    """Ranges of each document, those that touch or overlap as one."""
+    for batch in batches:
+        out = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+            by = np.argsort(a, kind="stable")
+            a, b = a[by], np.maximum.accumulate(b[by])
+            new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
+            out.append((a[new], b[np.append(new[1:], len(b)) - 1]))
+        cols = zip(*out, strict=True) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["d", "h", "a", "b"])
 
 
 def strip(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
@@ -335,12 +383,10 @@ def strip(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         for batch in pieces(batches):
             out = []
             for text, a, b in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                raw, kept, at, spans, end = text.encode(), [], 0, 0, -1
+                raw, kept, at, spans = text.encode(), [], 0, 0
                 for lo, hi in zip(a or (), b or (), strict=True):
-                    if lo > end:
-                        kept.append(raw[at:lo])
-                        spans += 1
-                    at = end = max(end, hi)
+                    kept.append(raw[at:lo])
+                    spans, at = spans + 1, hi
                 kept.append(raw[at:])
                 kept = b"".join(kept)
                 out.append((len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept))

@@ -65,6 +65,18 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fragments_for(df: DataFrame, each: int, least: int, most: int = 1 << 15) -> int:
+    """Fragments of about ``each`` bytes of ``df``, by the size that Spark knows of its files.
+
+    Where it has no size, or guesses one through joins and aggregates, the shuffle partitions set the number.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    if any(x in text for x in ("Join", "Aggregate", "LogicalRDD", "Generate")):
+        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(least, int(str(plan.stats().sizeInBytes())) // each), most)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

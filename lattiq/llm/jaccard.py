@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import Scratch, fresh, pieces, small, texts_of, tidy
+from .common import Scratch, fragments_for, fresh, pieces, small, texts_of, tidy
 
 WIDTH = 5
 #: Similarity, in hundredths.
@@ -141,8 +141,7 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
     first of them. ``doc_id`` and ``prefix`` are null where they don't belong.
     """
     if fragments is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        fragments = min(max(FRAGMENTS, size // FRAGMENT_BYTES), 1 << 16)
+        fragments = fragments_for(docs, FRAGMENT_BYTES, FRAGMENTS)
     slots = max(FRAGMENTS // 2, fragments // 2)
     idf = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     ida = pa.from_numpy_dtype(np.int64)

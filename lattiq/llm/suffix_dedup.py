@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, local_tmp, pieces, small, text_of, tidy
+from .common import Scratch, fragments_for, local_tmp, pieces, small, text_of, tidy
 from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblock, forget
 
 LENGTH, GRAM = 50, 16
@@ -242,8 +242,7 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
     """(d, h, a, b): for each document with covered bytes its id, mark of its text, and its maximal ranges a to b."""
     scratch = scratch or Scratch(docs.sparkSession, "suffix")
     if fragments is None:
-        size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        fragments = min(max(FRAGMENTS, size // FRAGMENT_BYTES), 1 << 15)
+        fragments = fragments_for(docs, FRAGMENT_BYTES, FRAGMENTS)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= LENGTH)
     copies = _copies(rows, scratch)
     rows = rows.join(small(copies.select("d", "h")), ["d", "h"], "left_anti")

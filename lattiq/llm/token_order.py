@@ -92,7 +92,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> Dat
             return pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["part", "idx", "first_doc", "start", "n_tokens", "body"])
 
         total = 0
-        for b in pieces(batches, limit=4 << 20):
+        for b in pieces(batches, limit=1 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(texts_of(b)), strict=True):
                 ids = np.append(np.frombuffer(ids, "<u4"), 0).astype(width)
                 begins.append((total, doc))

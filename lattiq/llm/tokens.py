@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 from tokenizers import Tokenizer
 
-KEPT = 350_000
+KEPT = 300_000
 #: Where marks follow a word: they form a token group of their own there in any case.
 _WORD_END = re.compile(rb"[a-z0-9](?=[.,!?;:|%&#*$])")
 

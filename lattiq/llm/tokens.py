@@ -54,10 +54,15 @@ class Chunks:
         raw = [t.encode() for t in texts]
         # the tokenizer lowers letters and parts marks from words itself; only its special tokens are not to be touched
         cut = [(r if b"<|" in r else _WORD_END.sub(rb"\g<0> ", r.lower())).split() for r in raw]
-        missing = list(set().union(*cut) - known.keys())
+        found = [list(map(known.get, x)) for x in cut]
+        gaps = [(x, y, [k for k, v in enumerate(y) if v is None]) for x, y in zip(cut, found, strict=True) if None in y]
+        missing = list({x[k] for x, _, at in gaps for k in at})
         for k in range(0, len(missing), 20_000):
             self._encode(missing[k : k + 20_000])
-        return [b"".join([known[c] for c in x]) for x in cut]
+        for x, y, at in gaps:
+            for k in at:
+                y[k] = known[x[k]]
+        return list(map(b"".join, found))
 
 
 @cache

@@ -28,6 +28,8 @@ from .common import Scratch, pieces, small, texts_of, tidy
 from .tokens import chunks, definition_of
 
 LENGTH, ROWS, ROUNDS = 2048, 1024, 6
+#: Chunks that a worker keeps encoded: 150 MB, about.
+KEPT = 800_000
 KEY = b"training order 1"
 _U = np.uint64
 
@@ -64,7 +66,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> Dat
     def work(batches):
         import zstandard
 
-        encoder, pack = chunks(definition.value), zstandard.ZstdCompressor(level=1)
+        encoder, pack = chunks(definition.value, KEPT), zstandard.ZstdCompressor(level=1)
         width, part, idx = np.dtype(encoder.width), TaskContext.get().partitionId(), 0
         held, begins, at = [], [], 0  # ids not yet cut; (place in the stream, doc) of texts that reach into them
 
@@ -92,7 +94,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> Dat
             return pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["part", "idx", "first_doc", "start", "n_tokens", "body"])
 
         total = 0
-        for b in pieces(batches, limit=1 << 20):
+        for b in pieces(batches, limit=3 << 20):
             for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(texts_of(b)), strict=True):
                 ids = np.append(np.frombuffer(ids, "<u4"), 0).astype(width)
                 begins.append((total, doc))

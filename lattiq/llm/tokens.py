@@ -6,20 +6,29 @@ one after the other. Most chunks come again and again; a worker keeps up to ``KE
 
 from __future__ import annotations
 
-import re
 from functools import cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
+from .jaccard import _mixed
+
 KEPT = 300_000
-#: Where marks follow a word: they form a token group of their own there in any case.
-_WORD_END = re.compile(rb"[a-z0-9](?=[.,!?;:|%&#*$])")
+def _bytes(which: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(which)] = True
+    return out
+
+
+_SPACE, _WORD = _bytes(b" \t\n\r\v\f"), _bytes(b"abcdefghijklmnopqrstuvwxyz0123456789")
+#: Marks that form a token group of their own after a letter or digit in any case.
+_MARK = _bytes(b".,!?;:|%&#*$")
+_CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 class Chunks:
-    def __init__(self, definition: str):
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+    def __init__(self, definition: str, kept: int = KEPT):
+        self.tokenizer, self.known, self.kept = Tokenizer.from_str(definition), {}, kept
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: The narrowest kind of number that holds an id.
         self.width = "<u2" if size <= 1 << 16 else "<u4"
@@ -49,26 +58,62 @@ class Chunks:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         known = self.known
-        if len(known) > KEPT:
+        if len(known) > self.kept:
             known.clear()
         raw = [t.encode() for t in texts]
-        # the tokenizer lowers letters and parts marks from words itself; only its special tokens are not to be touched
-        cut = [(r if b"<|" in r else _WORD_END.sub(rb"\g<0> ", r.lower())).split() for r in raw]
-        found = [list(map(known.get, x)) for x in cut]
-        gaps = [(x, y, [k for k, v in enumerate(y) if v is None]) for x, y in zip(cut, found, strict=True) if None in y]
-        missing = list({x[k] for x, _, at in gaps for k in at})
+        # special tokens are told apart by case and marks: their texts go to the tokenizer as they are
+        special = {k: ids.tobytes() for k in range(len(raw)) if b"<|" in raw[k] for ids in self._ids([texts[k]])}
+        data = b" ".join([b"" if k in special else r for k, r in enumerate(raw)]).lower() + b" "
+        begin, end = _chunks_of(data)
+        if not len(begin):
+            return [special.get(k, b"") for k in range(len(raw))]
+        _, first, number = np.unique(_hashes(data, begin, end), return_index=True, return_inverse=True)
+        forms = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
+        missing = [c for c in forms if c not in known]
         for k in range(0, len(missing), 20_000):
             self._encode(missing[k : k + 20_000])
-        for x, y, at in gaps:
-            for k in at:
-                y[k] = known[x[k]]
-        return list(map(b"".join, found))
+        values = [known[c] for c in forms]
+        size = np.array([len(v) for v in values]) // 4
+        count, at = size[number], (np.cumsum(size) - size)[number]
+        stop = np.cumsum(count)
+        out = np.frombuffer(b"".join(values), "<u4")[np.repeat(at - (stop - count), count) + np.arange(stop[-1])].tobytes()
+        # chunks of each text, and so its ids
+        edge = np.cumsum([0 if k in special else len(r) for k, r in enumerate(raw)]) + np.arange(len(raw))
+        to = 4 * np.append(0, stop)[np.searchsorted(begin, edge)]
+        return [special.get(k, out[a:b]) for k, (a, b) in enumerate(zip([0, *to[:-1].tolist()], to.tolist(), strict=True))]
+
+
+def _chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First and end byte of each chunk: between spaces, and parted where marks follow a letter or digit."""
+    x = np.frombuffer(data, np.uint8)
+    space = _SPACE[x]
+    part = np.append(True, space[:-1])
+    part[1:] |= _WORD[x[:-1]] & _MARK[x[1:]]
+    part &= ~space
+    begin = np.flatnonzero(part)
+    stop = space.copy()  # a chunk ends at a space or at the next chunk
+    stop |= part
+    ends = np.flatnonzero(stop)
+    return begin, ends[np.searchsorted(ends, begin) + 1]
+
+
+def _hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk: of its eight-byte words, cut to its length; long chunks one by one."""
+    eight = np.ndarray(len(data) + 24, dtype="<u8", buffer=data + bytes(32), strides=(1,))
+    size = end - begin
+    h = size.astype(np.uint64)
+    for k in range(3):
+        left = np.clip(size - 8 * k, 0, 8)
+        h = _mixed((h ^ (eight[begin + 8 * k] & _CUT[left])) * np.uint64(0x9E3779B97F4A7C15))
+    for k in np.flatnonzero(size > 24).tolist():
+        h[k] = hash(data[begin[k] : end[k]]) & 0xFFFFFFFFFFFFFFFF
+    return h
 
 
 @cache
-def chunks(definition: str) -> Chunks:
+def chunks(definition: str, kept: int = KEPT) -> Chunks:
     """The worker's cache for a tokenizer, kept from task to task."""
-    return Chunks(definition)
+    return Chunks(definition, kept)
 
 
 def definition_of(path: str) -> str:

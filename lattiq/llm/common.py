@@ -29,6 +29,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows, unless the session has a number of its own: texts are long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Written tables of one operator run under the shared folder: they cut lineage and survive lost executors.
 
@@ -36,6 +43,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark, self.base = spark, f"{shared_dir(spark)}/lattiq-{name}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.close)
 
@@ -103,7 +111,7 @@ def local_tmp() -> tempfile.TemporaryDirectory:
     return tempfile.TemporaryDirectory(prefix="lattiq-")
 
 
-def pieces(batches, column: str = "text", limit: int = 8 << 20):
+def pieces(batches, column: str = "text", limit: int = 2 << 20):
     """Slices of Arrow record batches whose ``column`` holds about ``limit`` bytes at most, or one row."""
     import numpy as np
     import pyarrow as pa
@@ -130,24 +138,22 @@ def release() -> None:
     """Gives freed memory back to the system at a task's end: Python workers stay beside later stages."""
     import ctypes
 
-    import pyarrow as pa
-
-    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
 
-def tidy(work, *caches: dict):
-    """``work`` over batches, with ``caches`` emptied and memory given back when a task ends."""
+def tidy(work):
+    """``work`` over batches, with memory given back to the system when a task ends."""
 
     def run(batches):
+        import pyarrow as pa
+
+        pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pools keep what they once had
         try:
             yield from work(batches)
         finally:
-            for c in caches:
-                c.clear()
             release()
 
     return run

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of, tidy
+from .common import bounded_batches, pieces, texts_of, tidy
 
 #: Lines to a window, and the share of the heaviest stretch's weight from which another one stays.
 WINDOW, SHARE = 3, 0.3
@@ -157,6 +157,7 @@ def extract(pages: DataFrame) -> DataFrame:
             texts = [main_text(t) for t in texts_of(batch, "html")]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=schema.names)
 
+    bounded_batches(pages.sparkSession)
     return pages.select("page_id", "url", "html").mapInArrow(tidy(work), schema)
 
 

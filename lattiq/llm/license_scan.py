@@ -5,7 +5,7 @@ into ``edits + 1`` pieces, at least one piece stands unchanged in each occurrenc
 exactly over slices of texts; around each hit the regex library's bounded-error matching verifies the whole notice and
 gives its span and edits. Fixed phrases (``BASE``) are counted exactly.
 
-No shuffle; memory is bounded by a slice of about 8 MB or the longest text. Defined results: a null text has no words;
+No shuffle; memory is bounded by a slice of about 2 MB or the longest text. Defined results: a null text has no words;
 each row of the input gives one row; an empty table gives an empty result. Columns other than doc_id and text are not
 read.
 """
@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of, tidy
+from .common import bounded_batches, pieces, texts_of, tidy
 
 #: Phrases and labels that the contract fixes.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -190,6 +190,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = judgements(texts_of(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), kinds)], names=schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 

@@ -3,7 +3,7 @@
 Each rule's regular expression gives a Boolean trigram query (``trigrams``). Over every slice of texts an index of the
 named trigrams is built; postings are intersected and joined as the queries say, and only texts that satisfy a rule's
 query are verified with its expression. Rules without mandatory trigrams (``hex``) scan every text. Whole texts are
-read; there is no shuffle, and memory is bounded by a slice of about 8 MB or the longest text.
+read; there is no shuffle, and memory is bounded by a slice of about 2 MB or the longest text.
 
 Defined results: a null text is empty; each row of the input gives one row, repeated ones too; an empty table gives an
 empty result. Columns other than doc_id and text are not read by ``scan``.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import pieces, texts_of, tidy
+from .common import bounded_batches, pieces, texts_of, tidy
 from .trigrams import Index, query_of, trigrams_in
 
 #: Kinds that the contract fixes, in its order: expression, and which matches stay.
@@ -93,6 +93,7 @@ def scan(docs: DataFrame) -> DataFrame:
             rows = [digest(x) for x in spans(texts_of(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.string() if k > 2 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))]], names=schema.names)
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
 
@@ -112,6 +113,7 @@ def redact(docs: DataFrame) -> DataFrame:
                     put("n_chars", len)
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(tidy(work), schema)
 
 

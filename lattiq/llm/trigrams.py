@@ -119,7 +119,7 @@ class Index:
     def __init__(self, wanted: set[str]):
         self.wanted = sorted(t for t in wanted if t.isascii())
         self.codes = np.array([int.from_bytes(t.encode(), "big") for t in self.wanted], dtype=np.int64)
-        self.table = np.zeros(1 << 24, dtype=np.uint16)
+        self.table = np.zeros(1 << 24, dtype=np.uint8 if len(self.codes) < 256 else np.uint16)
         self.table[self.codes] = np.arange(1, len(self.codes) + 1)
         self.postings: dict[str, np.ndarray] = {}
         self.rows = 0

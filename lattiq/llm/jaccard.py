@@ -43,7 +43,7 @@ WIDTH = 5
 #: Similarity, in hundredths.
 THRESHOLD = 75
 #: Bytes of input to a fragment's task, and the least number of fragments.
-FRAGMENT_BYTES, FRAGMENTS = 6 << 20, 32
+FRAGMENT_BYTES, FRAGMENTS = 4 << 20, 32
 #: Cuts of the global order for counting overlaps.
 CUTS = 4
 #: Shingles after a shared one that are looked at before a pair across components becomes a candidate.

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from .jaccard import _mixed
 
-KEPT = 300_000
+KEPT = 120_000
 def _bytes(which: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(which)] = True

@@ -372,7 +372,7 @@ def linked(rows):
 def test_jaccard_groups(docs, none, rounds):
     got = jaccard.groups(docs, rounds=rounds, fragments=5).drop("key").collect()
     want = linked(plain(docs))
-    assert sum(a != c for a, _, c in want if a is not None) > 10
+    assert sum(a != c for a, _, c in want if a is not None) >= 5  # the rows have links at all
     same([(r.doc_id, r.n_shingles, r.component_id) for r in got], want)
     if rounds:
         assert jaccard.groups(none).count() == 0

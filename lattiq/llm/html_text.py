@@ -3,8 +3,8 @@
 Markup is stripped so that every block of a page becomes a line. Lines inside menus, forms and the like weigh nothing;
 others weigh their length without link text. Weights are summed over sliding windows of lines; a surge is where the sum
 rises from nothing, a dive where it falls to nothing again. The heaviest stretch between a surge and a dive is the main
-text; stretches of at least ``SHARE`` of its weight stay as well. Where the page marks its article (article, main), the
-points move to the limits of the element that holds the heaviest stretch, so short first and last blocks stay.
+text; stretches of at least ``SHARE`` of its weight stay as well, on every page. Elements that mark an article (article,
+main) only add to that: where a kept stretch has weight in one, all of its blocks stay, the short first and last ones too.
 
 No shuffle; a page is read whole. Defined results: a null or empty page gives an empty text; a page without any weight
 gives an empty text; repeated rows are extracted each; an empty table gives an empty result. Columns other than page_id,
@@ -136,16 +136,11 @@ def main_text(page: str) -> str:
             begin = None
     heavy = [sum(weight[a:b]) for a, b in stretches]
     best = max(range(len(stretches)), key=lambda k: heavy[k])
-    # the articles' own lines, if the heaviest stretch lies in one
-    inside: dict[int, int] = {}
-    for k in range(*stretches[best]):
-        inside[lines[k][2]] = inside.get(lines[k][2], 0) + weight[k]
-    article = max(inside, key=lambda a: inside[a])
-    if article:
-        keep = [k for k, x in enumerate(lines) if x[2] == article]
-    else:
-        keep = [k for (a, b), h in zip(stretches, heavy, strict=True) if h >= SHARE * heavy[best] for k in range(a, b)]
-    return "\n".join(lines[k][0] for k in keep if not lines[k][1] and (article or weight[k]))
+    stays = [k for (a, b), h in zip(stretches, heavy, strict=True) if h >= SHARE * heavy[best] for k in range(a, b) if weight[k]]
+    # articles that these lines lie in stay as a whole
+    articles = {lines[k][2] for k in stays} - {0}
+    chosen = set(stays)
+    return "\n".join(x[0] for k, x in enumerate(lines) if not x[1] and (k in chosen or x[2] in articles))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -341,6 +341,18 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+LONG = "A sentence of the story that goes on for a while. " * 8
+
+
+def test_stretches_outside_of_the_heaviest_article_stay():
+    story = lambda k: f"<article><h2>{k}</h2><p>{LONG}{k}</p></article>"
+    apart = "<nav>" + "<p>menu</p>" * 4 + "</nav>"
+    text = LONG.strip()
+    assert html_text.main_text(f"{story('a')}{apart}{story('b')}") == f"a\n{text} a\nb\n{text} b"
+    assert html_text.main_text(f"{story('a')}{apart}<div><p>{LONG}</p></div>") == f"a\n{text} a\n{text}"
+    assert html_text.main_text(f"<main><h2><a href=x>Linked head</a></h2><p>{LONG}</p></main>{apart}") == f"Linked head\n{text}"
+
+
 # 10
 
 

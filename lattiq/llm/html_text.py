@@ -1,10 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block of a page becomes a line. Lines inside menus, forms and the like weigh nothing;
-others weigh their length without link text. Weights are summed over sliding windows of lines; a surge is where the sum
-rises from nothing, a dive where it falls to nothing again. The heaviest stretch between a surge and a dive is the main
-text; stretches of at least ``SHARE`` of its weight stay as well, on every page. Elements that mark an article (article,
-main) only add to that: where a kept stretch has weight in one, all of its blocks stay, the short first and last ones too.
+others weigh their characters outside of links, white space apart. Weights are summed over sliding windows of lines; a
+surge is where the sum rises from nothing, a dive where it falls to nothing again. A stretch between a surge and a dive is
+judged by itself: it stays, whatever its length, if at least ``DENSITY`` of its characters are outside of links; the
+heaviest one always stays. Blocks without weight between the first and the last with weight of a stretch stay. Elements
+that mark an article (article, main) only add to that: where a kept stretch has weight in one, all of its blocks stay,
+the first and last ones too.
 
 No shuffle; a page is read whole. Defined results: a null or empty page gives an empty text; a page without any weight
 gives an empty text; repeated rows are extracted each; an empty table gives an empty result. Columns other than page_id,
@@ -23,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, pieces, texts_of, tidy
 
-#: Lines to a window, and the share of the heaviest stretch's weight from which another one stays.
-WINDOW, SHARE = 3, 0.3
+#: Lines to a window, and the share of a stretch's own characters outside of links from which it stays.
+WINDOW, DENSITY = 3, 1 / 3
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|select|textarea|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
@@ -62,28 +64,28 @@ def _apart(tag: str, attributes: str) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
-    """(text, apart, number of the outermost article or main element that holds it, link characters) of each block."""
+    """(text, apart, number of the outermost article or main element that holds it, link characters, without white space) of each block."""
     out: list[tuple[str, bool, int, int]] = []
     stack: list[tuple[str, bool, int]] = []  # element, apart, article
     parts: list[str] = []
-    links = articles = at = 0
+    linked: list[str] = []
+    articles = at = 0
     in_link = False
 
     def close() -> None:
-        nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 _, apart, article = stack[-1] if stack else ("", False, 0)
-                out.append((text, apart, article, links))
-            links = 0
+                out.append((text, apart, article, len("".join(html.unescape("".join(linked)).split())) if linked else 0))
+            linked.clear()
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             parts.append(page[at : m.start()])
             if in_link:
-                links += m.start() - at
+                linked.append(parts[-1])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -122,7 +124,7 @@ def lines_of(page: str) -> list[tuple[str, bool, int, int]]:
 
 def main_text(page: str) -> str:
     lines = lines_of(page)
-    weight = [0 if apart else max(0, len(text) - links) for text, apart, _, links in lines]
+    weight = [0 if apart else max(0, len(text) - text.count(" ") - links) for text, apart, _, links in lines]
     if not any(weight):
         return ""
     # windows that begin at each line; a stretch runs from a surge to the next dive
@@ -134,12 +136,17 @@ def main_text(page: str) -> str:
         elif not s and begin is not None:
             stretches.append((begin, k))
             begin = None
-    heavy = [sum(weight[a:b]) for a, b in stretches]
-    best = max(range(len(stretches)), key=lambda k: heavy[k])
-    stays = [k for (a, b), h in zip(stretches, heavy, strict=True) if h >= SHARE * heavy[best] for k in range(a, b) if weight[k]]
+    chosen, heavy = set(), []
+    for a, b in stretches:
+        at = [k for k in range(a, b) if weight[k]]
+        heavy.append((sum(weight[k] for k in at), at))
+        linked = sum(x[3] for x in lines[at[0] : at[-1] + 1] if not x[1])
+        if heavy[-1][0] >= DENSITY * (heavy[-1][0] + linked):
+            chosen.update(range(at[0], at[-1] + 1))
+    at = max(heavy, key=lambda x: x[0])[1]
+    chosen.update(range(at[0], at[-1] + 1))
     # articles that these lines lie in stay as a whole
-    articles = {lines[k][2] for k in stays} - {0}
-    chosen = set(stays)
+    articles = {lines[k][2] for k in chosen if weight[k]} - {0}
     return "\n".join(x[0] for k, x in enumerate(lines) if not x[1] and (k in chosen or x[2] in articles))
 
 

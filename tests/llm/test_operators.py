@@ -353,6 +353,14 @@ def test_stretches_outside_of_the_heaviest_article_stay():
     assert html_text.main_text(f"<main><h2><a href=x>Linked head</a></h2><p>{LONG}</p></main>{apart}") == f"Linked head\n{text}"
 
 
+def test_light_stretches_and_linked_blocks_stay():
+    text, promo = LONG.strip(), "".join(f"<p><a href=x>Offer number {k}</a></p>" for k in range(4))
+    assert html_text.main_text(f"<div>{f'<p>{LONG}</p>' * 9}{promo}<p>The ending.</p></div>") == "\n".join([text] * 9 + ["The ending."])
+    linked = "<h3><a href=x>A linked &amp; folded\n     head</a></h3><p>Sources: <a href=x>&eacute;&eacute;     &eacute;</a></p>"
+    assert html_text.main_text(f"<div><p>{LONG}</p>{linked}<p>{LONG}</p></div>") == f"{text}\nA linked & folded head\nSources: éé é\n{text}"
+    assert html_text.lines_of("<p>No. <a href=x>&eacute; &amp;\n  b</a></p>") == [("No. é & b", False, 0, 3)]
+
+
 # 10
 
 

@@ -1,9 +1,12 @@
 """Quality rules: robust multivariate outliers by minimum covariance determinant (MCD).
 
-Every document becomes a vector of transformed text statistics. For each (lang, source) the estimate starts from
-medians and median deviations, then takes concentration steps: keep the share ``H`` of the rows that are nearest by
-Mahalanobis distance, take mean and covariance of these, and repeat. A document is rejected if its squared distance,
-scaled so that the group's median agrees with the chi-square median, is above ``cutoff``.
+Every document becomes a vector of transformed text statistics. For each (lang, source) the estimate starts twice, from
+medians and median deviations and from mean and covariance of all rows, then takes concentration steps until the
+determinant falls no more: keep the share ``H`` of the rows that are nearest by Mahalanobis distance, take mean and covariance of these, and
+repeat. The result of the lesser determinant stays. Steps and determinants have no floor but the grid's ``NOISE``. A
+document is rejected if its squared distance is above ``cutoff``; for that the covariance is scaled so that the group's
+median agrees with the chi-square median (by ``CONSISTENT`` at least), and ``FLOOR`` is added, as most groups have no spread
+at all in three of the statistics.
 
 Only DataFrame functions run. The statistics table (one narrow row a document) is written once; each step aggregates
 it to a few numbers a group with map-side combining, so a hot source costs no more than its share of the rows.
@@ -29,13 +32,19 @@ from .common import Scratch, small, text_of, without
 SPACE = r"[\x20\x09-\x0D]+"
 GRID = 256
 H = 0.75
-STEPS = 3
+#: A group's concentration steps end when its determinant falls no more, or after so many.
+MOST_STEPS = 30
 MIN_GROUP = 50
 #: 1 - 1e-4 quantile of chi-square with five degrees of freedom, and its median.
 CUTOFF, MEDIAN = 25.745, 4.351
-#: Least standard deviation of each statistic: differences below it are not held against a document.
-FLOOR = (0.12, 0.35, 0.35, 0.35, 0.35)
+#: What the covariance of the nearest ``H`` of normal rows in five dimensions falls short by.
+CONSISTENT = 1.41
+#: Standard deviation that is added for the verdict: differences below it are not held against a document. Each statistic
+#: can go over the cutoff by itself (a table's separators, one mark in eight characters, stay below; repeats above a
+#: share of 0.3 fail the base rule already).
+FLOOR = (0.12, 0.27, 0.26, 0.2, 0.03)
 DIMS = len(FLOOR)
+NOISE = (2 / GRID,) * DIMS
 
 
 def statistics(docs: DataFrame, *keep: str) -> DataFrame:
@@ -105,12 +114,12 @@ def _moments(rows: DataFrame) -> DataFrame:
     return g.select("g", *[(m[a] / GRID).alias(f"m{a}") for a in range(DIMS)], *[((F.col(f"p{a}{b}") / F.col("n") - m[a] * m[b]) / (GRID * GRID)).alias(f"c{a}{b}") for a, b in pairs])
 
 
-def _factor(est: DataFrame, scale: Column | None = None) -> DataFrame:
+def _factor(est: DataFrame, floor: tuple[float, ...] = NOISE, scale: Column | None = None) -> DataFrame:
     """Adds the Cholesky factor l* of the covariance times ``scale`` plus the floor."""
     s = scale if scale is not None else F.lit(1.0)
     for a in range(DIMS):
         for b in range(a + 1):
-            c = F.col(f"c{a}{b}") * s + F.lit(FLOOR[a] ** 2 if a == b else 0.0)
+            c = F.col(f"c{a}{b}") * s + F.lit(floor[a] ** 2 if a == b else 0.0)
             rest = c - reduce(add, [F.col(f"l{a}{k}") * F.col(f"l{b}{k}") for k in range(b)], F.lit(0.0))
             est = est.withColumn(f"l{a}{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l{b}{b}"))
     return est.select("g", *[f"m{a}" for a in range(DIMS)], *[f"l{a}{b}" for a in range(DIMS) for b in range(a + 1)])
@@ -138,17 +147,32 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
         *[F.pow(at("mad", a) * 1.4826 / GRID, 2).alias(f"c{a}{a}") for a in range(DIMS)],
         *[F.lit(0.0).alias(f"c{a}{b}") for a in range(DIMS) for b in range(a)],
     )
-    est = scratch.table(_factor(start), "est0")
-    binned = lambda e: vectors.join(small(e), "g").withColumn("b", F.floor(F.log2(_distance() + 1e-3) * 64))
-    for step in range(1, STEPS + 1):
+    begun = lambda k, est: est.withColumn("g", F.concat(F.lit(k), F.col("g")))
+    est = scratch.table(_factor(begun("0", start)).unionByName(_factor(begun("1", _moments(vectors)))), "est0")
+    twice = vectors.withColumn("g", F.explode(F.array(*[F.concat(F.lit(k), F.col("g")) for k in "01"])))
+    binned = lambda e: twice.join(small(e), "g").withColumn("b", F.floor(F.log2(_distance() + 1e-3) * 64))
+    spread = reduce(add, [F.log(f"l{a}{a}") for a in range(DIMS)]).alias("v")
+    raws, volumes = [], []
+    for step in range(1, MOST_STEPS + 1):
         near = binned(est)
         edge = small(scratch.table(_quantile(near, ["g"], "b", H, "edge"), f"edge{step}"))
-        raw = _moments(near.join(edge, "g").where(F.col("b") <= F.col("edge")))
-        raw = scratch.table(raw, f"raw{step}")
-        est = scratch.table(_factor(raw), f"est{step}")
-    half = _quantile(binned(est), ["g"], "b", 0.5, "half")
-    scale = F.greatest(F.pow(F.lit(2.0), F.col("half") / 64) / MEDIAN, F.lit(1.0))
-    return scratch.table(_factor(raw.join(half, "g"), scale), "final")
+        raws.append(scratch.table(_moments(near.join(edge, "g").where(F.col("b") <= F.col("edge"))), f"raw{step}"))
+        made = _factor(raws[-1])
+        volumes.append(scratch.table(made.select("g", spread), f"volume{step}"))
+        if step > 1:  # groups that go on
+            last = volumes[-2].withColumnRenamed("v", "u")
+            made = made.join(volumes[-1].join(last, "g").where(F.col("v") < F.col("u") - 1e-6), "g", "left_semi")
+        est = scratch.table(made, f"est{step}")
+        if est.isEmpty():
+            break
+    all_raws = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(k)) for k, x in enumerate(raws)])
+    all_volumes = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(k)) for k, x in enumerate(volumes)])
+    best = all_volumes.groupBy(F.substring("g", 2, 1 << 30).alias("of")).agg(F.min(F.struct("v", "g", "step")).alias("x"))
+    raw = scratch.table(all_raws.join(best.select("of", "x.g", "x.step"), ["g", "step"]).drop("step"), "best")
+    half = _quantile(binned(_factor(raw)), ["g"], "b", 0.5, "half")
+    scale = F.greatest(F.pow(F.lit(2.0), F.col("half") / 64) / MEDIAN, F.lit(CONSISTENT))
+    final = raw.join(half, "g").drop("g").withColumnRenamed("of", "g")
+    return scratch.table(_factor(final, FLOOR, scale), "final")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF, scratch: Scratch | None = None) -> DataFrame:

@@ -321,6 +321,26 @@ def test_outliers_go_and_plain_documents_stay(spark):
     assert all(got[k] for k in range(300)) and not any(got[1000 + k] for k in range(30))
 
 
+def test_outliers_of_one_statistic_go(spark):
+    import random
+
+    from .conftest import words
+
+    r = random.Random(12)
+    line = lambda: "Te " + words(r, 4)
+    page = lambda n: [line() for _ in range(n)]
+    rows = [(k, "\n".join(page(r.randint(20, 50))), "en", "s0") for k in range(300)]
+    short = lambda: f"Te {r.choice(['ab', 'cd'])}"
+    odd = {1000: "\n".join(page(30)).upper(), 1001: "\n".join(f"{line()} {words(r, 8)}\n{short()}\n{short()}" for _ in range(20))}
+    odd[1002] = " ".join(w + "$" * (k % 3 < 2) for k, w in enumerate("\n".join(page(40)).split()))
+    df = spark.createDataFrame(rows + [(k, t, "en", "s0") for k, t in odd.items()], "doc_id long, text string, lang string, source string")
+    got = {x.doc_id: x for x in quality.judge(df).collect()}
+    assert all(got[k].kept for k in range(300))
+    assert {k: got[k].kept for k in odd} == dict.fromkeys(odd, False)
+    assert not any(got[k].base_failed for k in odd)
+    assert got[1001].n_dup_lines == 38 and 0.14 < got[1002].n_symbols / got[1002].word_chars < 0.17
+
+
 # 9
 
 

@@ -17,11 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLES: dict[str, str] = {
-    "op2_best_fit_packing": packing.query,
-    "op3_license_fuzzy": license_scan.query,
-    "op4_secret_trigrams": secret_scan.query,
     "op5_suffix_columns": suffix_dedup.ORACLE,
     "op7_decontamination_index": decontam.ORACLE,
-    "op9_html_line_blocks": html_text.query,
     "op10_ngram_jaccard_join": jaccard.ORACLE,
 }

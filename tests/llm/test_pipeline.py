@@ -57,3 +57,9 @@ def test_run_matches_its_parts(spark):
 def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_oracles_are_sql():
+    import __spark_entry__ as entry
+
+    assert all(isinstance(x, str) for x in entry.oracle_sql().values())

@@ -28,6 +28,13 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
     "hex": (r"[0-9a-f]{16,}", lambda m: True),
 }
+#: A private key through its END line. Without one: the header's fields and the base64 lines that follow; a short one
+#: counts if it is a whole line. Line ends may be written as escapes.
+_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:(?:\s|\\[nr])++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"
+    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{16,}+|[\t\r ]*+(?:\n|\\[nr])(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?=[\t\r ]*(?:\n|\\[nr]|\Z)))*+)"
+)
 #: Kinds of well-known token formats, after those of the contract.
 MORE = {
     "forge": (r"gh[pousr]_[A-Za-z0-9]{36,}", lambda m: True),
@@ -35,8 +42,8 @@ MORE = {
     "maps": (r"AIza[0-9A-Za-z_-]{35}", lambda m: True),
     "pay": (r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", lambda m: True),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda m: True),
-    "pem": (r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", lambda m: True),
-    "login": (r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@[A-Za-z0-9]", lambda m: True),
+    "pem": (_PEM, lambda m: True),
+    "login": (r"://[^\s/:@]++:[^\s/:@]++@[A-Za-z0-9]", lambda m: True),
 }
 KINDS = [*BASE, *MORE]
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"

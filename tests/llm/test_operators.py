@@ -171,6 +171,18 @@ def test_redaction_keeps_columns_and_rows(docs, none):
     assert secret_scan.redact(none).count() == 0
 
 
+def test_whole_keys_and_long_logins_are_redacted():
+    clean = lambda t: secret_scan.redacted(t, secret_scan.spans([t])[0])
+    body = "\n".join(["MIIEowIBAAKCAQEA+/" + "aB3z" * 11] * 5 + ["Qw=="])
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    assert clean(f"a\n{head}\nProc-Type: 4,ENCRYPTED\n\n{body}\n{foot}\nb {head}\r\n{body}\r\n{foot}") == "a\n[SECRET]\nb [SECRET]"
+    assert clean(f"{head}\nDEK-Info: AES-128-CBC,AB\n\n{body}\nplain words\nfollow") == "[SECRET]\nplain words\nfollow"
+    assert clean(f'"{head}\n{body}\n"'.replace("\n", "\\n") + " tail") == '"[SECRET]\\n" tail'
+    assert clean(f"the line {head} marks keys") == "the line [SECRET] marks keys"
+    assert clean(f"{head} and then\n{head}\n{body}\n{foot} c") == "[SECRET] and then\n[SECRET] c"
+    assert clean(f"https://{'u' * 70}:{'p' * 900}@host/x") == "https[SECRET]ost/x"
+
+
 def test_trigram_queries_are_implied():
     r = np.random.default_rng(3)
     index = trigrams.Index(set().union(*(trigrams.trigrams_in(x[3]) for x in secret_scan.rules())))

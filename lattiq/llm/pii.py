@@ -33,15 +33,19 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: A spelt-out dot; a label after which an address can't end; one after which it can.
+_DOT = r"\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?"
+_INNER, _LAST = r"(?![A-Za-z]{2})[A-Za-z0-9-]++", rf"[A-Za-z]{{2,}}+(?:[A-Za-z0-9-]++(?={_DOT}[A-Za-z0-9]))?"
 #: Further kinds, proposed generously.
 MORE = {
-    "spelt": r"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]{0,40}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{1,40}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,10}",
+    "spelt": rf"(?<![A-Za-z0-9._-])[A-Za-z0-9][A-Za-z0-9._-]*+\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]++(?:(?:{_DOT}{_INNER})*+{_DOT}{_LAST})++",
     "tel": r"(?<![0-9+.(-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?:[\x20.-][0-9]{2,4})?(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
 KINDS = [*BASE, *MORE]
-MARK = r"[@0-9]|[(\[]at[)\]]|\x20dot\x20"
+#: Every generator's matches contain it.
+MARK = r"[@0-9]|[(\[]at[)\]]|[(\[]dot[)\]]|\x20dot\x20"
 BEFORE = 24
 #: Words before a span that speak for it (by kind) or against it.
 WORDS = {

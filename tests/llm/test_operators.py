@@ -221,6 +221,28 @@ def test_personal_data(spark, docs, none):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count() and pii.scan(none).count() == 0
 
 
+def test_spelt_addresses_are_proposed_whole(spark):
+    long = f"{'j' * 70} at {'e' * 60} dot international"
+    cases = {
+        "write to jane at example (dot) com": ["jane at example (dot) com"],
+        "jane[at]example[dot]com, x at y dot z": ["jane[at]example[dot]com"],
+        "jane at mail dot example dot com": ["jane at mail dot example dot com"],
+        "jane at mail2 dot 3ex dot org dot 5": ["jane at mail2 dot 3ex dot org"],
+        long: [long],
+        "a at b" + " dot cd" * 3000: ["a at b" + " dot cd" * 3000],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("_any", F.col("t").rlike(pii.MARK))
+    got = pii.located(df, "t", pii.BASE | pii.MORE).select("t", F.col("_s_spelt.m").alias("m")).collect()
+    assert {x.t: x.m for x in got} == cases
+
+
+@pytest.mark.parametrize("kind", list(pii.KINDS))
+def test_generators_imply_the_mark(spark, kind):
+    texts = [*PERSONAL, "a at b (dot) cd", "a at b [dot] cd", "a(at)b dot cd", "DE12 ABCD EFGH IJKL", *[m for _, m, _, _ in pii.sample(400)]]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").where(F.col("t").rlike((pii.BASE | pii.MORE)[kind]))
+    assert df.count() > 0 and df.where(~F.col("t").rlike(pii.MARK)).count() == 0
+
+
 def test_trees_hold_on_other_samples(spark):
     trees = pii.model(spark)
     assert trees.held_out[0] >= 0.95 and trees.held_out[1] >= 0.7

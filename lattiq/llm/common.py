@@ -6,18 +6,27 @@ import atexit
 import os
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join may be broadcast after its rows have been counted.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side of a join may be broadcast after its rows have been measured.
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a session whose executors are the driver itself gets one of its own; a cluster has to name one.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="lattiq-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,12 +48,13 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
 class Scratch:
     """Written tables of one operator run under the shared folder: they cut lineage and survive lost executors.
 
-    ``drop`` removes a table that nothing later reads; the rest goes when the driver ends.
+    ``drop`` removes tables that nothing later reads, ``only`` all but those that the result reads; these go when the
+    driver ends, or by ``close``.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
-        self.spark, self.base = spark, f"{shared_dir(spark)}/lattiq-{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/lattiq-{name}-{uuid.uuid4().hex[:12]}", set()
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -52,11 +62,16 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, self.path(name))
+            self.names.discard(name)
+
+    def only(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
 
     def close(self) -> None:
         try:
@@ -65,24 +80,39 @@ class Scratch:
             pass
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows (they are counted), else as it is.
+def _bytes(name: str, kind: T.DataType) -> Column:
+    """About the memory that a column takes in a row."""
+    c = F.col(f"`{name}`")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        flat = isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType))
+        return F.greatest(F.size(c), F.lit(0)) * 8 + 24 if flat else F.length(F.coalesce(F.to_json(c), F.lit(""))) + 24
+    return F.length(F.coalesce(F.to_json(c), F.lit(""))) + 24 if isinstance(kind, (T.StructType, T.MapType)) else F.lit(8)
+
 
-    Meant for written tables, where counting reads no more than footers.
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its rows take at most ``limit`` bytes (they are measured), else as it is.
+
+    Meant for written tables, which are read again for it.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    row = reduce(add, [_bytes(f.name, f.dataType).cast("long") for f in df.schema], F.lit(32).cast("long"))
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= limit else df
 
 
-def fragments_for(df: DataFrame, each: int, least: int, most: int = 1 << 15) -> int:
-    """Fragments of about ``each`` bytes of ``df``, by the size that Spark knows of its files.
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the documents' texts, or of the files they are read from where nothing else happens on the way."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation" or node.nodeName().startswith("Relation"):
+        return int(str(node.stats().sizeInBytes()))
+    return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
-    Where it has no size, or guesses one through joins and aggregates, the shuffle partitions set the number.
-    """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    text = plan.toString()
-    if any(x in text for x in ("Join", "Aggregate", "LogicalRDD", "Generate")):
-        return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return min(max(least, int(str(plan.stats().sizeInBytes())) // each), most)
+
+def fragments_for(docs: DataFrame, each: int, least: int) -> int:
+    """Fragments of about ``each`` bytes of ``docs``; as many as it takes."""
+    return max(least, -(-text_bytes(docs) // each))
 
 
 def text_of(name: str = "text") -> Column:

@@ -96,7 +96,10 @@ def proximity(index: DataFrame, first: Column, second: Column, within: int) -> D
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, scratch: Scratch | None = None) -> DataFrame:
-    """One row a document: doc_id, h (hash of its text), n_words, n_hit, n_items, items_sha256, contaminated."""
+    """One row a document: doc_id, h (hash of its text), n_words, n_hit, n_items, items_sha256, contaminated, whole.
+
+    ``whole``: a window of ``window`` words occurs, not only items that are shorter than that.
+    """
     scratch = scratch or Scratch(docs.sparkSession, "decontam")
     terms = scratch.table(terms_of(items), "terms")
     index = scratch.table(build_index(docs, scratch.table(terms.select("w", "term").distinct(), "vocabulary")), "index")
@@ -105,30 +108,35 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, scrat
     fresh = F.greatest(F.lit(0), F.col("b") - F.greatest(F.col("a"), F.coalesce(before, F.lit(0))))
     names = F.collect_set("item")
     per = hits.withColumn("fresh", fresh).groupBy("d", "h").agg(
-        F.sum("fresh").alias("n_hit"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(names), ","), 256).alias("items_sha256")
+        F.sum("fresh").alias("n_hit"), F.max(F.col("b") - F.col("a") >= window).alias("whole"), F.size(names).cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort(names), ","), 256).alias("items_sha256")
     )
     per = small(scratch.table(per, "per"))
-    docs_rows = index.where(F.col("term").isNull())
-    out = docs_rows.alias("x").join(per.alias("y"), _same("x", "y"), "left")
+    closing = scratch.table(index.where(F.col("term").isNull()).select("d", "h", "pos"), "documents")
+    scratch.only("per", "documents")
+    out = closing.alias("x").join(per.alias("y"), _same("x", "y"), "left")
     n_words, n_hit = F.col("pos").cast("long"), F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     return out.select(
         F.col("x.d").alias("doc_id"), F.col("x.h").alias("h"), n_words.alias("n_words"), n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= n_words)).alias("contaminated"),
+        F.coalesce("whole", F.lit(False)).alias("whole"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: one row a document."""
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return contamination(read("documents"), read("benchmark")).drop("h")
+    return contamination(read("documents"), read("benchmark")).drop("h", "whole")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Documents go in which a whole window of an item occurs, however long they are, and contaminated ones; others stay.
+
+    Items of fewer words than a window can be common phrases: they count by their share of a document only.
+    """
     scratch = Scratch(spark, "decontam")
-    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=scratch).where("contaminated")
+    bad = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), scratch=scratch).where("whole or contaminated")
     bad = scratch.table(bad.select(F.col("doc_id").alias("_d"), F.col("h").alias("_b")).distinct(), "bad")
-    scratch.drop("index")
+    scratch.only("bad")
     return without(docs, bad, "text")
 
 

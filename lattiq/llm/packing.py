@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from .tokens import chunks, definition_of
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
-#: Rows to a bucket of pieces, about, and least number of buckets.
-BUCKET_ROWS, BUCKETS = 20_000, 64
+#: Rows to a bucket of pieces, about, without and with their ids, and least number of buckets.
+BUCKET_ROWS, BUCKET_ROWS_IDS, BUCKETS = 20_000, 4_000, 64
 
 
 class Capacities:
@@ -95,25 +96,29 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces: doc_id, piece, start, length, ids_crc32, and ids (little-endian unsigned 32-bit) if asked for."""
+    """Pieces: doc_id, piece, start, length, ids_crc32, and ids if asked for."""
     definition = docs.sparkSession.sparkContext.broadcast(definition_of(tokenizer_path))
-    fields = "piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    fields = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(fields).fields])
     step = 4 * capacity
 
     def work(batches):
         encoder = chunks(definition.value)
         for batch in pieces(batches, limit=1 << 20):
-            row, cut = [], []
+            row, cut, held = [], [], []
             for i, ids in enumerate(encoder.ids(texts_of(batch))):
                 ids += END
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     row.append(i)
-                    cut.append((k, at // 4, len(part) // 4, zlib.crc32(part), part))
-            cols = list(zip(*cut, strict=True))[: 4 + with_ids]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *map(pa.array, cols, kinds)], names=schema.names)
+                    cut.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
+                if with_ids:
+                    held.append(ids)
+            cols = [pa.array(c, k) for c, k in zip(zip(*cut, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *(c[2] for c in cut)], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<i4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *cols], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(work), schema)
 
@@ -123,7 +128,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "packing")
     cut = scratch.table(tokenised(docs, tokenizer_path, capacity, with_ids), "pieces")
-    buckets = max(BUCKETS, -(-cut.count() // BUCKET_ROWS))
+    buckets = max(BUCKETS, -(-cut.count() // (BUCKET_ROWS_IDS if with_ids else BUCKET_ROWS)))
     cut = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
     counts = scratch.table(cut.groupBy("length", "_b").agg(F.count("*").alias("_n")), "counts")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
@@ -145,8 +150,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
 def sequences(packed: DataFrame) -> DataFrame:
     """sequence_id, doc_ids, ids: the sequences' content, from ``pack(..., with_ids=True)``."""
     rows = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids"))).alias("x"))
-    joined = F.aggregate("x", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
-    return rows.select("sequence_id", F.col("x.doc_id").alias("doc_ids"), joined.alias("ids"))
+    return rows.select("sequence_id", F.col("x.doc_id").alias("doc_ids"), F.flatten("x.ids").alias("ids"))
 
 
 def _path() -> str:
@@ -161,5 +165,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces and their places."""
-    return pack(docs, _path())
+    """The documents' pieces with their ids and places: what a sequence holds stands in the result (``sequences``)."""
+    return pack(docs, _path(), with_ids=True)

@@ -1,11 +1,13 @@
 """Token ids of whole texts by a word-level BPE tokenizer file, with a bounded cache of encoded chunks.
 
-White space never enters a token of such a tokenizer, so a text's ids are those of its chunks between ASCII spaces,
-one after the other. Most chunks come again and again; a worker keeps up to ``KEPT`` of them.
+Where a tokenizer splits words as ``SPLITS`` says, white space never enters a token, so a text's ids are those of its
+chunks between ASCII spaces, one after the other. Most chunks come again and again; a worker keeps up to ``KEPT`` of them.
+Texts go to any other tokenizer as they are, whole.
 """
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
 import numpy as np
@@ -14,6 +16,19 @@ from tokenizers import Tokenizer
 from .jaccard import _mixed
 
 KEPT = 120_000
+#: The normalisation and word splits by which texts may be cut into chunks.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 def _bytes(which: bytes) -> np.ndarray:
     out = np.zeros(256, dtype=bool)
     out[list(which)] = True
@@ -29,6 +44,8 @@ _CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 class Chunks:
     def __init__(self, definition: str, kept: int = KEPT):
         self.tokenizer, self.known, self.kept = Tokenizer.from_str(definition), {}, kept
+        told = json.loads(definition)
+        self.cuts = all(told.get(k) == v for k, v in SPLITS.items()) and told["model"].get("end_of_word_suffix") == "</w>" and not any(told.get(k) for k in ("truncation", "padding"))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         #: The narrowest kind of number that holds an id.
         self.width = "<u2" if size <= 1 << 16 else "<u4"
@@ -57,6 +74,8 @@ class Chunks:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        if not self.cuts:
+            return [e.tobytes() for e in self._ids(texts)]
         known = self.known
         if len(known) > self.kept:
             known.clear()
@@ -67,7 +86,7 @@ class Chunks:
         begin, end = _chunks_of(data)
         if not len(begin):
             return [special.get(k, b"") for k in range(len(raw))]
-        _, first, number = np.unique(_hashes(data, begin, end), return_index=True, return_inverse=True)
+        first, number = _distinct(data, begin, end)
         forms = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
         missing = [c for c in forms if c not in known]
         for k in range(0, len(missing), 20_000):
@@ -97,17 +116,32 @@ def _chunks_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return begin, ends[np.searchsorted(ends, begin) + 1]
 
 
-def _hashes(data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each chunk: of its eight-byte words, cut to its length; long chunks one by one."""
+def _distinct(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct chunk one that is it, and for every chunk the number of its distinct one.
+
+    Chunks meet by hashes of their bytes and sizes. Then every chunk is compared with the one it met, byte by byte; chunks
+    that differ from theirs count as distinct ones of their own.
+    """
     eight = np.ndarray(len(data) + 24, dtype="<u8", buffer=data + bytes(32), strides=(1,))
     size = end - begin
-    h = size.astype(np.uint64)
-    for k in range(3):
-        left = np.clip(size - 8 * k, 0, 8)
-        h = _mixed((h ^ (eight[begin + 8 * k] & _CUT[left])) * np.uint64(0x9E3779B97F4A7C15))
-    for k in np.flatnonzero(size > 24).tolist():
+    words = [eight[begin + 8 * k] & _CUT[np.clip(size - 8 * k, 0, 8)] for k in range(3)]
+    h = _mixed((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    for w in words:
+        h = _mixed((h ^ w) * np.uint64(0x9E3779B97F4A7C15))
+    long = np.flatnonzero(size > 24)
+    for k in long.tolist():
         h[k] = hash(data[begin[k] : end[k]]) & 0xFFFFFFFFFFFFFFFF
-    return h
+    _, first, number = np.unique(h, return_index=True, return_inverse=True)
+    mine = first[number]
+    other = size != size[mine]
+    for w in words:
+        other |= w != w[mine]
+    b, e, m = begin.tolist(), end.tolist(), mine.tolist()
+    for k in long.tolist():
+        other[k] |= data[b[k] : e[k]] != data[b[m[k]] : e[m[k]]]
+    alone = np.flatnonzero(other)
+    number[alone] = len(first) + np.arange(len(alone))
+    return np.append(first, alone), number
 
 
 @cache

@@ -54,6 +54,28 @@ def test_chunks_give_the_tokenizers_ids(docs):
         assert np.frombuffer(ids, "<u4").tolist() == encoded(text)[:-1]
 
 
+def test_ids_of_fuzzed_texts():
+    """Words, marks, control and combining characters, special tokens in all orders; long and cut chunks."""
+    from tokenizers import Tokenizer
+
+    t, r = Tokenizer.from_file(PATH), np.random.default_rng(17)
+    parts = ["A", "b", "\0", "\1", " ", "\n", ".", ",", "'s", "'S", "12", "é", "e\u0301", "\u0301", "Σ", "ΑΣ", "İ", "<|endoftext|>", "<|", "漢字", "\u2003", "\u00a0", "🙂", "hello", "World", "\x7f", "-", "\u0338", "<", ">", "&", "#", "\x1c", "\x85", "word" * 9, "word" * 9 + "\0"]
+    texts = ["".join(parts[k] for k in r.integers(0, len(parts), int(r.integers(0, 40)))) for _ in range(10_000)] + ["A\0 b", "A b\0 b\0\0 b"]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    encoder = tokens.Chunks(tokens.definition_of(PATH), 2000)
+    for k in range(0, len(texts), 500):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts[k : k + 500])] == want[k : k + 500]
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, t = tokens.Chunks(tokens.definition_of(path)), Tokenizer.from_file(path)
+    texts = ["Two  words.", "", " a\0 b"]
+    assert not encoder.cuts and [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_training_order(spark, docs, none, tmp_path):
     made = token_order.write(docs, f"file://{tmp_path}/a", PATH, length=64, rows=10).toPandas().sort_values("number")
     assert sorted(made.slot) == list(range(len(made)))
@@ -106,7 +128,11 @@ def test_packing(docs, none):
         assert pieces[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(pieces, pieces[1:], strict=False)) and sum(n for _, n in pieces) <= 256
     assert len(bins) == len(naive_packing([r.length for r in got], 256))
     whole = packing.sequences(packing.pack(docs, PATH, 256, with_ids=True)).collect()
-    assert sum(len(r.ids) // 4 for r in whole) == sum(r.length for r in got)
+    assert sum(len(r.ids) for r in whole) == sum(r.length for r in got)
+    at = {(r.doc_id, r.piece, r.ids_crc32): r for r in got}
+    for d, k, start, n, crc in want:
+        r = at[d, k, crc]
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == crc and (r.start, len(r.ids)) == (start, n)
     assert packing.pack(none, PATH).count() == 0
 
 

@@ -1,36 +1,41 @@
 """Removal of repeated passages: every byte covered by a string of ``LENGTH`` bytes that also starts in a document with
 a smaller id.
 
-Equal strings meet by a minimiser: the least hash among a window's ``GRAM``-byte parts. Runs of windows with one minimiser
-are segments of at most ``LENGTH + PARTS - 1`` bytes.
-
-Of exact copies only the one with the smallest id takes part; the others go whole. For the rest:
+Column-wise construction inserts one symbol of every string a round, so the rounds are as many as the longest string has
+bytes. Documents are therefore cut into segments, in such a way that equal windows of ``LENGTH`` bytes meet: runs of
+windows with one minimiser (the least hash among a window's ``GRAM``-byte parts) are segments of at most
+``LENGTH + PARTS - 1`` bytes. A fragment's collection of segments has few rounds, whatever a document's length is.
 
 1. Minimisers of all documents are dealt to fragments and counted; those of one document only can't be in a repeated
-   string. The rest return to their documents.
-2. Their segments are dealt to fragments by minimiser, equal segments collapse to one form with its smallest document, and the
-   collection of the fragment's forms that may share a window with another form (by hashes of windows; no other form can
-   change what a form's own smallest document is) gets a Burrows-Wheeler transform with common prefixes (``transform``): built column-wise from the
-   right, each round inserts one symbol of every string. A round reads the transform and the prefixes of the round before
-   in order and writes new ones; above ``IN_MEMORY`` bytes they are files in the task's own folder. Neighbours in suffix
-   order with ``LENGTH`` common bytes are equal windows; the smallest document of such a group decides.
-3. Covered ranges go back to their documents and are cut out.
-
-The rounds are bounded by a segment's length, whatever a document's length is. Blocks of many entries share a shuffled
-row. Nothing is collected on the driver.
-
-Defined results: a null text has no bytes; a null doc_id counts as larger than all others, and rows that share a doc_id
-don't remove each other's bytes; each row gives one row; an empty table gives an empty result. Columns other than doc_id
-and text are not read. Hashes only find candidates: covered bytes are compared as bytes.
+   string. The rest return to their documents. Tasks gather ``GATHER`` bytes of texts: a minimiser that several of these
+   have is sent once, and its documents are answered on the spot.
+2. Segments of the minimisers that are left are gathered likewise: equal ones become one form with its smallest and its
+   largest document, so a line that stands in every document is sent once a gathering, not once a document. Gatherings
+   are written; their forms are dealt to fragments by minimiser.
+3. All forms of a fragment enter one collection, whose Burrows-Wheeler transform and common prefixes are built
+   column-wise (``transform``) by rounds over sequential files in the task's own folder. Neighbours in suffix order with
+   ``LENGTH`` common bytes are equal windows; the smallest document of such a group decides.
+4. What it decides on windows returns to the gatherings, which know where their forms stand, and becomes covered ranges of
+   their documents; these are cut out.
+
+Hashes and minimisers only bring candidates together: which bytes are equal is decided by the transform. Blocks of many
+entries share a shuffled row. Nothing is collected on the driver. A task holds a fragment's distinct forms, at most one of
+a form for each gathering.
+
+Defined results: doc_id is a whole number; a null text has no bytes; a null doc_id counts as larger than all others, and rows that share a
+doc_id don't remove each other's bytes; each row gives one row; an empty table gives an empty result; very long texts are
+segments like others. Columns other than doc_id and text are not read, whatever their names are.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +45,13 @@ from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblo
 LENGTH, GRAM = 50, 16
 PARTS = LENGTH - GRAM + 1
 SLICE = 1 << 20
-IN_MEMORY = 64 << 20
+#: Bytes of texts whose equal minimisers and segments are sent once.
+GATHER = 4 << 20
+#: Stands for further documents that have a minimiser.
+MANY = -1
+#: Entries of a column that are read or written at once.
+BLOCK = 1 << 16
+_LOW, _HIGH = np.uint16(255), np.uint16(8)
 #: Stands for a missing doc_id: larger than any.
 LAST = (1 << 63) - 1
 
@@ -81,23 +92,13 @@ def _tokens(low: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray]:
     return (((h >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.int64), h.astype(np.uint32)
 
 
-class _Columns:
-    """The transform and the common prefixes of the last round: arrays, or files above ``IN_MEMORY`` bytes."""
-
-    def __init__(self, folder: Path, total: int):
-        self.folder, self.held = folder if total > IN_MEMORY else None, None
-
-    def put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        if self.folder:
-            bwt.tofile(self.folder / "bwt")
-            lcp.tofile(self.folder / "lcp")
-        else:
-            self.held = bwt, lcp
-
-    def get(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.folder:
-            return np.fromfile(self.folder / "bwt", np.uint8), np.fromfile(self.folder / "lcp", np.uint8)
-        return self.held
+def _until(values: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Minimum of values[: to + 1] for each ``to``."""
+    if not len(to):
+        return np.empty(0, values.dtype)
+    stops, which = np.unique(to, return_inverse=True)
+    each = np.minimum.reduceat(values[: stops[-1] + 1], np.append(0, stops[:-1] + 1))
+    return np.minimum.accumulate(each)[which]
 
 
 def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -116,48 +117,145 @@ def _least(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Column:
+    """One round's transform and common prefixes: a file of two bytes an entry, written and read in order."""
+
+    def __init__(self, path: Path):
+        self.file, self.size = open(path, "w+b", buffering=0), 0
+
+    def blocks(self, first: int = 0):
+        """Arrays of entries from ``first`` on."""
+        for k in range(first, self.size, BLOCK):
+            self.file.seek(2 * k)
+            yield np.frombuffer(self.file.read(2 * min(BLOCK, self.size - k)), np.uint16)
+
+    def write(self, parts) -> None:
+        """The next column, over the one before the last; columns only grow."""
+        self.file.seek(0)
+        self.size = sum(self.file.write(x.tobytes()) for x in parts) // 2
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        x = np.concatenate([*self.blocks(), np.empty(0, np.uint16)])
+        return (x & _LOW).astype(np.uint8), (x >> _HIGH).astype(np.uint8)
+
+
+class _Seen:
+    """What a pass over a column knows of each symbol so far: occurrences, least common prefix since the last one."""
+
+    def __init__(self):
+        self.count, self.least = np.zeros(256, np.int64), np.zeros(256, np.uint8)
+        #: Whether the last one was new in its round.
+        self.fresh = np.zeros(256, bool)
+
+    def block(self, x: np.ndarray, new: np.ndarray):
+        """For the entries of a block that are new or right behind a new one of their symbol: place in the block, rank
+        among their symbol, and the least common prefix since the entry before them of their symbol."""
+        symbol, prefix = (x & _LOW).astype(np.uint8), (x >> _HIGH).astype(np.uint8)
+        order = np.argsort(symbol, kind="stable")
+        count = np.bincount(symbol, minlength=256)
+        edge = np.cumsum(count) - count
+        order, there = order[count[0] :], np.flatnonzero(count[1:]) + 1
+        begin = edge[there] - count[0]
+        fresh = new[order]
+        ask = fresh.copy()
+        ask[1:] |= fresh[:-1]
+        head = np.zeros(len(order), bool)
+        head[begin] = True
+        ask[begin] = fresh[begin] | self.fresh[there]
+        ask = np.flatnonzero(ask)
+        at, first = order[ask], head[ask]
+        value = np.empty(len(ask), np.uint8)
+        value[~first] = _least(prefix, order[ask[~first] - 1] + 1, at[~first] + 1)
+        if first.any():
+            value[first] = np.minimum(self.least[symbol[at[first]]], _until(prefix, at[first]))
+        rank = self.count[symbol[at]] + ask - (edge[symbol[at]] - count[0])
+        tail = np.append(begin, len(order))[1:] - 1
+        after = _until(np.append(prefix, np.uint8(255))[::-1], len(prefix) - 1 - order[tail])
+        self.least = np.minimum(self.least, prefix.min())
+        self.least[there], self.fresh[there] = after, fresh[tail]
+        self.count += count
+        return at, rank, value
+
+
 def transform(data: np.ndarray, start: np.ndarray, length: np.ndarray, folder: Path) -> tuple[np.ndarray, np.ndarray]:
     """Burrows-Wheeler transform of strings (bytes plus one; 0 ends each) and common prefixes of neighbours.
 
-    Strings are told apart by their order: the suffixes that are only an end come first, in that order.
+    Strings are told apart by their order: the suffixes that are only an end come first, in that order. Every round
+    inserts one symbol of each string, from its end on; shorter strings begin later, so that all end in the last round.
+    A round reads the column before in order, to rank the symbols, and again to write the next one with the new symbols
+    in their places. Memory holds a block and a few numbers a string.
     """
-    n = len(start)
-    columns = _Columns(folder, len(data) + n)
-    last = start + length - 1
-    columns.put(data[last], np.zeros(n, dtype=np.uint8))
-    fresh_at, owner, done = np.arange(n), np.arange(n), 0
-    while len(owner):
-        bwt, lcp = columns.get()
-        slot = np.full(len(bwt), -1, dtype=np.int32)
-        slot[fresh_at] = np.arange(len(owner), dtype=np.int32)
-        rest = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
-        mine = slot[rest]
-        fresh = mine >= 0
-        owner = owner[mine[fresh]]
-        if not len(owner):
-            break
-        done += 1
-        more = length[owner] > done
-        symbol = np.where(more, data[np.where(more, last[owner] - done, 0)], 0).astype(np.uint8)
-        new_bwt, new_lcp = np.empty(n + len(rest), np.uint8), np.empty(n + len(rest), np.uint8)
-        new_bwt[:n], new_lcp[:n] = bwt[:n], 0
-        old = ~fresh
-        new_bwt[n:][old], new_lcp[n:][old] = bwt[n:], lcp[n:]
-        new_bwt[n:][fresh] = symbol
-        # common prefixes change at new suffixes and right after them
-        at = fresh.copy()
-        at[1:] |= fresh[:-1]
-        at[0] = False
-        at = np.flatnonzero(at)
-        q, p = rest[at], rest[at - 1]
-        same = bwt[q] == bwt[p]
-        value = np.zeros(len(at), dtype=np.uint8)
-        value[same] = _least(lcp, p[same] + 1, q[same] + 1) + 1
-        new_lcp[n:][at] = value
-        new_lcp[n] = 0
-        fresh_at = n + np.flatnonzero(fresh)
-        columns.put(new_bwt, new_lcp)
-    return columns.get()
+    n, last = len(start), start + length - 1
+    now, then = _Column(folder / "even"), _Column(folder / "odd")
+    rounds = int(length.max(initial=0))
+    begins = rounds - length  # the round in which a string begins
+    ends = np.where(begins == 0, data[last], 0).astype(np.uint8)  # symbols before the ends
+    now.write(ends[k : k + BLOCK].astype(np.uint16) for k in range(0, n, BLOCK))
+    at = np.flatnonzero(begins == 0)  # places of the newest symbols, ascending, and their strings
+    owner, total = at.copy(), np.bincount(ends, minlength=256)
+    for done in range(1, rounds + 1):
+        # rank
+        seen, places, ranks, values, low, mine = _Seen(), [], [], [], 0, 0
+        for x in now.blocks():
+            to = int(np.searchsorted(at, low + len(x)))
+            new = np.zeros(len(x), bool)
+            new[at[mine:to] - low] = True
+            mine = to
+            p, r, v = seen.block(x, new)
+            symbol = (x[p] & _LOW).astype(np.int64)
+            places.append((new[p], np.searchsorted(at, p + low)))
+            ranks.append((symbol, r))
+            values.append(v)
+            low += len(x)
+        fresh, who = (np.concatenate(c) for c in zip(*places, strict=True))
+        symbol, rank = (np.concatenate(c) for c in zip(*ranks, strict=True))
+        value = np.concatenate(values)
+        total[0] = 0
+        to = n + (np.cumsum(total) - total)[symbol] + rank
+        value = np.where(rank > 0, value + 1, 0).astype(np.uint16)
+        by = np.argsort(to)
+        to, value, fresh, who = to[by], value[by], fresh[by], who[by]
+        at, owner = to[fresh], owner[who[fresh]]
+        # symbols that come next: of the strings under way, and the last ones of those that begin
+        left = length[owner] - (done - begins[owner])
+        symbol = np.where(left > 0, data[np.maximum(last[owner] - (done - begins[owner]), 0)], 0).astype(np.uint16)
+        begun = np.flatnonzero(begins == done)
+        ends[begun] = data[last[begun]]
+        then.write(_merged(now, n, ends, at, symbol, to, value))
+        total += np.bincount(symbol, minlength=256) + np.bincount(ends[begun], minlength=256)
+        on = left > 0
+        at, owner = np.concatenate([begun, at[on]]), np.concatenate([begun, owner[on]])
+        now, then = then, now
+    out = now.all()
+    now.file.close()
+    then.file.close()
+    return out
+
+
+def _merged(old: _Column, n: int, ends: np.ndarray, at: np.ndarray, symbol: np.ndarray, to: np.ndarray, value: np.ndarray):
+    """Blocks of the next column: the ends' symbols, then the entries before with the new ones at their places ``at``;
+    common prefixes ``value`` at the places ``to``."""
+    for k in range(0, n, BLOCK):
+        yield ends[k : k + BLOCK].astype(np.uint16)
+    low, mine, told = n, 0, 0
+    held, source = np.empty(0, np.uint16), old.blocks(n)
+    total = old.size + len(at)
+    while low < total:
+        high = min(total, low + BLOCK)
+        a, b = mine, int(np.searchsorted(at, high))
+        c, d = told, int(np.searchsorted(to, high))
+        mine, told = b, d
+        need = high - low - (b - a)
+        while len(held) < need:
+            held = np.concatenate([held, next(source)])
+        out, keep = np.empty(high - low, np.uint16), np.ones(high - low, bool)
+        keep[at[a:b] - low] = False
+        out[keep], held = held[:need], held[need:]
+        out[at[a:b] - low] = symbol[a:b]
+        where = to[c:d] - low
+        out[where] = out[where] & _LOW | value[c:d] << _HIGH
+        low = high
+        yield out
 
 
 def smallest(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.ndarray, folder: Path, window: int = LENGTH) -> np.ndarray:
@@ -165,9 +263,9 @@ def smallest(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.nd
     bwt, lcp = transform(data + 1, start, length, folder)
     order = np.argsort(bwt, kind="stable")[np.count_nonzero(bwt == 0) :]
     n = len(start)
-    back = np.empty(len(bwt), dtype=np.int64)  # place of the suffix that is one symbol longer
-    back[order] = n + np.arange(len(order))
-    group = np.cumsum(lcp < window) - 1
+    back = np.empty(len(bwt), dtype=np.int32)  # place of the suffix that is one symbol longer
+    back[order] = n + np.arange(len(order), dtype=np.int32)
+    group = np.cumsum(lcp < window, dtype=np.int32) - 1
     at, who = np.arange(n), np.arange(n)
     value = np.full(len(bwt), LAST, dtype=np.int64)
     where, place = [], []
@@ -185,28 +283,26 @@ def smallest(data: np.ndarray, start: np.ndarray, length: np.ndarray, doc: np.nd
     return out
 
 
-def related(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = LENGTH) -> np.ndarray:
-    """Numbers of the strings that have a window whose hash another string has, too."""
-    up, down, byte = _powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=_U)
-    np.cumsum(byte[data] * up[: len(data)], out=sums[1:])
-    count = length - window + 1
-    at, who = _spread(start, count), np.repeat(np.arange(len(start)), count)
-    h = _mixed((sums[at + window] - sums[at]) * down[at])
-    by = np.argsort(h)
-    h, who = h[by], who[by]
-    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-    several = np.minimum.reduceat(who, new) != np.maximum.reduceat(who, new)
-    return np.unique(who[np.repeat(several, np.diff(np.append(new, len(h))))])
+def _pack(*arrays: np.ndarray) -> bytes:
+    """The arrays' sizes and bytes."""
+    return b"".join([np.array([x.nbytes for x in arrays], np.int64).tobytes(), *(x.tobytes() for x in arrays)])
+
+
+def _unpack(block: bytes, *kinds) -> list[np.ndarray]:
+    sizes = np.frombuffer(block, np.int64, len(kinds))
+    ends = np.cumsum(sizes) + 8 * len(kinds)
+    return [np.frombuffer(block, k, n // np.dtype(k).itemsize, e - n) for k, n, e in zip(kinds, sizes.tolist(), ends.tolist(), strict=True)]
 
 
-def _pack(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, size: np.ndarray, data: np.ndarray) -> bytes:
-    return b"".join([np.array([len(doc)], np.int64).tobytes(), doc.tobytes(), mark.tobytes(), at.astype(np.int64).tobytes(), size.astype(np.int64).tobytes(), data.tobytes()])
+#: What a gathering sends to a fragment (smallest and largest document, size and bytes of its forms), what it keeps of a
+#: fragment (document's number, place, form's number), what returns (form's number, first window, windows, document), and
+#: its documents (id, mark).
+FORMS, PLACES, ANSWER, DOCS = (np.int64, np.int64, np.uint8, np.uint8), (np.uint32, np.int64, np.uint32), (np.uint32, np.uint8, np.uint8, np.int64), (np.int64, np.int64)
 
 
-def _unpack(block: bytes) -> tuple[np.ndarray, ...]:
-    n = int(np.frombuffer(block, np.int64, 1)[0])
-    return *(np.frombuffer(block, np.int64, n, 8 + 8 * n * k) for k in range(4)), np.frombuffer(block, np.uint8, offset=8 + 32 * n)
+def _edges(values: np.ndarray) -> list[int]:
+    """Where runs of equal values begin, and the end."""
+    return [*np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist(), len(values)] if len(values) else []
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -214,11 +310,25 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
-def _joined(batch, column: str = "text"):
-    """A batch's texts as bytes with a separator that UTF-8 has not, where each begins, and their ids and marks."""
-    raw = [(t or "").encode() for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
+def _joined(batch):
+    """A batch's texts as bytes with a separator that UTF-8 has not, and where each begins."""
+    raw = [(t or "").encode() for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
     begin = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return np.frombuffer(b"\xff".join([*raw, b""]), np.uint8), begin, batch.column(0).to_numpy(zero_copy_only=False)
+    return np.frombuffer(b"\xff".join([*raw, b""]), np.uint8), begin
+
+
+def _gathered(batches, work):
+    """Lists of ``work``'s results for slices of ``SLICE`` bytes, about ``GATHER`` bytes to a list."""
+    held, size = [], 0
+    for batch in pieces(batches, limit=SLICE):
+        data, begin = _joined(batch)
+        held.append(work(batch, data, begin))
+        size += len(data)
+        if size >= GATHER:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def _inside(first: np.ndarray, size: np.ndarray, low: np.ndarray, begin: np.ndarray):
@@ -244,26 +354,47 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
     if fragments is None:
         fragments = fragments_for(docs, FRAGMENT_BYTES, FRAGMENTS)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64("text").alias("h"), "text").where(F.octet_length("text") >= LENGTH)
-    copies = _copies(rows, scratch)
-    rows = rows.join(small(copies.select("d", "h")), ["d", "h"], "left_anti")
+    rows = rows.select(F.xxhash64("d", "h").alias("k"), "d", "h", "text")  # k tells rows apart
 
     def minimisers(batches):
-        for batch in pieces(batches, limit=SLICE):
-            data, begin, ids = _joined(batch)
+        def one(batch, data, begin):
             row, _, _, low = _inside(*runs(data), begin)
             part, token = _tokens(low, fragments)
-            by = np.lexsort((token, row, part))
-            part, row, token = part[by], row[by], token[by]
-            once = np.concatenate(([True], (part[1:] != part[:-1]) | (row[1:] != row[:-1]) | (token[1:] != token[:-1]))) if len(by) else np.empty(0, bool)
-            got = list(_blocks(part[once], ids[row[once]], token[once]))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "block"])
+            code, key = part << 32 | token, batch.column(0).to_numpy()[row]
+            by = np.lexsort((key, code))
+            code, key = code[by], key[by]
+            new = np.append(True, (code[1:] != code[:-1]) | (key[1:] != key[:-1]))[: len(code)]
+            return code[new], key[new]
+
+        for held in _gathered(batches, one):
+            code, key = (np.concatenate(c) for c in zip(*held, strict=True))
+            by = np.lexsort((key, code))
+            code, key = code[by], key[by]
+            first = np.append(True, code[1:] != code[:-1])[: len(code)]
+            several = np.append(~first[1:], False)[: len(code)] | ~first
+            # codes of several documents: these know, and the fragment gets one of them and MANY
+            own = np.argsort(key[several], kind="stable")
+            told, codes = key[several][own], code[several][own]
+            out = [(int(told[a]) % fragments, None, int(told[a]), codes[a:b].tobytes()) for a, b in pairwise(_edges(told))]
+            many = code[several & first]
+            code, key = np.concatenate([code[first], many]), np.concatenate([key[first], np.full(len(many), MANY)])
+            part = code >> 32
+            by = np.lexsort((code, key, part))
+            out += [(p, block, None, None) for p, block in _blocks(part[by], key[by], code[by].astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["part", "block", "k", "v"])
         forget()
 
     def count(batches):
         blocks: dict[int, list[bytes]] = {}
+        answer = lambda got: pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([v for _, v in got], pa.binary())], names=["k", "v"])
         for batch in batches:
-            for part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks.setdefault(part, []).append(block)
+            got = []
+            for part, block, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None:
+                    got.append((k, v))
+                else:
+                    blocks.setdefault(part, []).append(block)
+            yield answer(got)
         for part in list(blocks):
             key, token = (np.concatenate(x) for x in zip(*map(_unblock, blocks.pop(part)), strict=True))
             names, number = np.unique(key, return_inverse=True)
@@ -271,102 +402,146 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             token, number = (both >> _U(32)).astype(np.int64), (both & _U(0xFFFFFFFF)).astype(np.int64)
             new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             df = np.diff(np.append(new, len(token)))
-            more = np.repeat(df > 1, df)
+            more = np.repeat(df > 1, df) & (names[number] != MANY)
             token, number = token[more], number[more]
             by = np.argsort(number, kind="stable")
             token, number = token[by], number[by]
-            edge = np.append(np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1]))), len(number)) if len(number) else np.zeros(1, int)
             value = (np.int64(part) << 32 | token).tobytes()
-            got = [(int(names[number[a]]), value[8 * a : 8 * b]) for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([v for _, v in got], pa.binary())], names=["d", "v"])
+            yield answer([(int(names[number[a]]), value[8 * a : 8 * b]) for a, b in pairwise(_edges(number))])
+        forget()
 
     def segments(batches):
-        for batch in pieces(batches, limit=SLICE):
-            data, begin, ids = _joined(batch)
-            mark = batch.column(1).to_numpy()
+        def one(batch, data, begin):
             row, first, size, low = _inside(*runs(data), begin)
             part, token = _tokens(low, fragments)
             code = (part << 32) | token
             hit = np.zeros(len(row), dtype=bool)
-            edge = np.searchsorted(row, np.arange(len(begin)))
             by = np.argsort(row, kind="stable")
             edge = np.searchsorted(row[by], np.arange(len(begin)))
-            for k, v in enumerate(batch.column(3).to_pylist()):
+            for k, v in enumerate(batch.column(4).to_pylist()):
                 mine = by[edge[k] : edge[k + 1]]
                 hit[mine] = np.isin(code[mine], np.frombuffer(b"".join(v), np.int64))
             row, first, size, part = row[hit], first[hit], size[hit] + LENGTH - 1, part[hit]
             by = np.argsort(part, kind="stable")
             row, first, size, part = row[by], first[by], size[by], part[by]
-            edge = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)) if len(part) else np.zeros(1, int)
-            got = []
-            for a, b in zip(edge.tolist(), edge[1:].tolist(), strict=False):
-                s = slice(a, b)
-                got.append((int(part[a]), _pack(ids[row[s]], mark[row[s]], first[s] - begin[row[s]], size[s], data[_spread(first[s], size[s])])))
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in got], pa.int32()), pa.array([b for _, b in got], pa.binary())], names=["part", "block"])
+            ids, marks = (batch.column(k).to_numpy() for k in (1, 2))
+            return row, first - begin[row], size, part, data[_spread(first, size)].tobytes(), ids, marks
+
+        task = TaskContext.get().partitionId()
+        for number, held in enumerate(_gathered(batches, one)):
+            base = np.cumsum([0, *(len(x[5]) for x in held)])
+            row = np.concatenate([x[0] + b for x, b in zip(held, base.tolist(), strict=False)])
+            at, size, part = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            raw = b"".join([x[4] for x in held])
+            ids, marks = (np.concatenate([x[k] for x in held]) for k in (5, 6))
+            to, by = np.cumsum(size), np.argsort(part, kind="stable")
+            names: dict[bytes, int] = {}
+            form = np.array([names.setdefault(raw[b - s : b], len(names)) for b, s in zip(to[by].tolist(), size[by].tolist(), strict=True)], np.int64)
+            row, at, part = row[by], at[by], part[by]
+            least, most = np.full(len(names), LAST, np.int64), np.zeros(len(names), np.int64)
+            np.minimum.at(least, form, ids[row])
+            np.maximum.at(most, form, ids[row])
+            text, length = b"".join(names), np.array([len(x) for x in names], np.int64)
+            ends, name = np.cumsum(length), task << 32 | number
+            out = [(name, -1, None, _pack(ids, marks))] if len(row) else []
+            for a, b in pairwise(_edges(part)):
+                f, t = int(form[a]), int(form[a:b].max()) + 1
+                mine = text[int(ends[f] - length[f]) : int(ends[t - 1])]
+                out.append((name, int(part[a]), _pack(least[f:t], most[f:t], length[f:t].astype(np.uint8), np.frombuffer(mine, np.uint8)), _pack(row[a:b].astype(np.uint32), at[a:b], (form[a:b] - f).astype(np.uint32))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "part", "forms", "places"])
         forget()
 
     def decide(batches):
-        blocks: dict[int, list[bytes]] = {}
+        blocks: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                blocks.setdefault(part, []).append(block)
+            for name, part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                blocks.setdefault(part, []).append((name, block))
         for part in list(blocks):
-            doc, mark, at, size, data = (np.concatenate(x) for x in zip(*map(_unpack, blocks.pop(part)), strict=True))
+            names, got = zip(*blocks.pop(part), strict=True)
+            least, most, size, data = (np.concatenate(x) for x in zip(*(_unpack(b, *FORMS) for b in got), strict=True))
+            of = np.cumsum([0, *(int(np.frombuffer(b, np.int64, 1)[0]) // 8 for b in got)])
+            size = size.astype(np.int64)
             raw, to = data.tobytes(), np.cumsum(size)
             number: dict[bytes, int] = {}
             form = np.array([number.setdefault(raw[b - s : b], len(number)) for b, s in zip(to.tolist(), size.tolist(), strict=True)])
             owner = np.full(len(number), LAST, dtype=np.int64)
-            np.minimum.at(owner, form, doc)
+            np.minimum.at(owner, form, least)
             forms, length = np.frombuffer(b"".join(number), np.uint8), np.array([len(k) for k in number])
             start = np.cumsum(length) - length
-            least = np.repeat(owner, length)
-            near = related(forms, start, length)
-            if len(near):  # forms that may share a window with other forms meet in a transform
-                own, at_own = length[near], _spread(start[near], length[near])
-                with local_tmp() as folder:
-                    least[at_own] = smallest(forms[at_own], np.cumsum(own) - own, own, owner[near], Path(folder))
-            windows = size - LENGTH + 1
-            which = np.repeat(np.arange(len(doc)), windows)
-            hit = least[_spread(start[form], windows)] < doc[which]
-            which, begin = which[hit], _spread(at, windows)[hit]
-            if not len(which):
-                continue
-            by = np.lexsort((begin, mark[which], doc[which]))
-            which, begin = which[by], begin[by]
-            d, h = doc[which], mark[which]
-            new = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (begin[1:] > begin[:-1] + LENGTH))))
-            end = begin[np.append(new[1:], len(begin)) - 1] + LENGTH
-            yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(h[new]), pa.array(begin[new]), pa.array(end)], names=["d", "h", "a", "b"])
+            with local_tmp() as folder:
+                value = smallest(forms, start, length, owner, Path(folder))
+            # runs of windows with one smallest document
+            windows = length - LENGTH + 1
+            where = _spread(start, windows)
+            value, whose = value[where], np.repeat(np.arange(len(length)), windows)
+            edge = np.array(_edges(whose << np.int64(8) | np.append(0, np.cumsum(value[1:] != value[:-1])) & 255))
+            new = edge[:-1]
+            run_of, first = whose[new], where[new] - start[whose[new]]
+            lo, hi = np.searchsorted(run_of, form), np.searchsorted(run_of, form, side="right")
+            run, mine = _spread(lo, hi - lo), np.repeat(np.arange(len(form)), hi - lo)
+            use = value[new][run] < most[mine]  # others remove nothing there
+            run, mine = run[use], mine[use]
+            cut = np.searchsorted(mine, of)
+            rows = []
+            for k, (a, b) in enumerate(pairwise(cut.tolist())):
+                if a < b:
+                    r = run[a:b]
+                    rows.append((names[k], part, _pack((mine[a:b] - of[k]).astype(np.uint32), first[r].astype(np.uint8), np.diff(edge)[r].astype(np.uint8), value[new][r])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["slice", "part", "answer"])
         forget()
 
-    repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(count), "d long, v binary")
-    repeated = repeated.groupBy("d").agg(F.collect_list("v").alias("v"))
-    some = rows.join(repeated, "d").select("d", "h", "text", "v")
-    ranges = some.mapInArrow(tidy(segments), "part int, block binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(decide), "d long, h long, a long, b long")
-    grouped = ranges.groupBy("d", "h").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
-    whole = copies.select("d", "h", F.array(F.lit(0).cast("long")).alias("a"), F.array("n").alias("b"))
-    return scratch.table(grouped.mapInArrow(tidy(merged), "d long, h long, a array<long>, b array<long>").union(whole), "ranges")
-
-
-def _copies(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(d, h, n): documents whose whole text stands in one of a smaller id, and their bytes."""
-    texts = scratch.table(rows.select("d", "h", F.md5("text").alias("m"), F.octet_length("text").cast("long").alias("n")), "texts")
-    first = scratch.table(texts.groupBy("m").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").drop("last"), "first")
-    return scratch.table(texts.join(small(first), "m").where("d > first").select("d", "h", "n").distinct(), "copies")
-
-
-def merged(batches):
-    """Ranges of each document, those that touch or overlap as one."""
-    for batch in batches:
-        out = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
-            by = np.argsort(a, kind="stable")
-            a, b = a[by], np.maximum.accumulate(b[by])
-            new = np.flatnonzero(np.concatenate(([True], a[1:] > b[:-1])))
-            out.append((a[new], b[np.append(new[1:], len(b)) - 1]))
-        cols = zip(*out, strict=True) if out else ((), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.list_(pa.int64())) for c in cols)], names=["d", "h", "a", "b"])
+    def ranges(batches):
+        """Rows of a gathering: its documents, then for each fragment the places of forms and, if there is one, the answer."""
+        now, docs_of, places, found = None, None, None, []
+
+        def done():
+            if not found:
+                return None
+            row, a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+            by = np.lexsort((a, row))
+            row, a, b = row[by].astype(np.int64), a[by], b[by]
+            far = np.maximum.accumulate(row << np.int64(40) | b)
+            new = np.append(True, (row << np.int64(40) | a)[1:] > far[:-1])
+            begin = np.flatnonzero(new)
+            a, b, row = a[begin], far[np.append(begin[1:], len(far)) - 1] & ((1 << 40) - 1), row[begin]
+            edge = np.array(_edges(row), np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x)) for x in (a, b)]
+            return pa.RecordBatch.from_arrays([*(pa.array(x[row[edge[:-1]]]) for x in docs_of), *lists], names=["d", "h", "a", "b"])
+
+        for batch in batches:
+            for name, part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != now:
+                    if (out := done()) is not None:
+                        yield out
+                    now, found = name, []
+                if part < 0:
+                    docs_of = _unpack(block, *DOCS)
+                elif kind == 0:
+                    places = _unpack(block, *PLACES)
+                else:
+                    (row, at, form), (of, first, count, value) = places, _unpack(block, *ANSWER)
+                    lo, hi = np.searchsorted(of, form), np.searchsorted(of, form, side="right")
+                    run, mine = _spread(lo, hi - lo), np.repeat(np.arange(len(form)), hi - lo)
+                    hit = value[run] < docs_of[0][row[mine]]
+                    run, mine = run[hit], mine[hit]
+                    begin = at[mine] + first[run]
+                    if len(run):
+                        found.append((row[mine], begin, begin + count[run] + LENGTH - 1))
+        if (out := done()) is not None:
+            yield out
+
+    repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary, k long, v binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(count), "k long, v binary")
+    repeated = repeated.groupBy("k").agg(F.collect_list("v").alias("v"))
+    some = rows.join(repeated, "k").select("k", "d", "h", "text", "v")
+    gathered = scratch.table(some.mapInArrow(tidy(segments), "slice long, part int, forms binary, places binary"), "gathered")
+    forms = gathered.where("part >= 0").select("slice", "part", "forms").repartitionById(fragments, F.col("part"))
+    answers = scratch.table(forms.mapInArrow(tidy(decide), "slice long, part int, answer binary"), "answers")
+    both = gathered.select("slice", "part", F.lit(0).alias("kind"), F.col("places").alias("block")).union(answers.select("slice", "part", F.lit(1), "answer"))
+    both = both.repartition(max(FRAGMENTS, fragments // 4), "slice").sortWithinPartitions("slice", "part", "kind")
+    found = both.mapInArrow(tidy(ranges), "d long, h long, a array<long>, b array<long>")
+    found = scratch.table(found.groupBy("d", "h").agg(F.first("a").alias("a"), F.first("b").alias("b")), "ranges")  # repeated rows have the same
+    scratch.only("ranges")
+    return found
 
 
 def strip(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:

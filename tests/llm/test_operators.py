@@ -281,8 +281,9 @@ def test_trees_hold_on_other_samples(spark):
 # 5
 
 
-def test_repeated_passages(docs, none):
-    texts = [(d, t.encode()) for d, t in plain(docs)]
+def stripped(df):
+    """Brute force: (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row."""
+    texts = [(d, t.encode()) for d, t in plain(df)]
     first = {}
     for d, raw in texts:
         d = suffix_dedup.LAST if d is None else d
@@ -296,13 +297,33 @@ def test_repeated_passages(docs, none):
                 gone[k : k + 50] = b"\1" * 50
         kept = bytes(c for c, g in zip(raw, gone, strict=True) if not g)
         want.append((d, len(raw), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
-    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.strip(docs).collect()], want)
+    return want
+
+
+def test_repeated_passages(docs, none):
+    same([(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.strip(docs).collect()], stripped(docs))
     assert suffix_dedup.strip(none).count() == 0
 
 
-@pytest.mark.parametrize("in_memory", [0, 1 << 20])
-def test_transform_and_prefixes(tmp_path, monkeypatch, in_memory):
-    monkeypatch.setattr(suffix_dedup, "IN_MEMORY", in_memory)
+def test_passages_of_many_documents(spark):
+    """A line in every document, exact copies and shifted passages, over many partitions; null and repeated ids."""
+    import random
+
+    from .conftest import words
+
+    r = random.Random(21)
+    line, passage = words(r, 16), words(r, 60)
+    rows = [(k, f"{words(r, r.randint(1, 30))}\n{line}\n{words(r, r.randint(1, 30))}") for k in range(150)]
+    rows += [(200 + k, f"{words(r, 3)} {passage[k:]} {words(r, 3)}") for k in range(30)]
+    rows += [(300 + k, rows[5][1]) for k in range(60)] + [(None, rows[6][1]), (None, rows[7][1]), (7, rows[8][1]), (7, rows[8][1]), (8, "é" * 200), (9, "é" * 300), (10, "ab" * 500)]
+    r.shuffle(rows)
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], "doc_id long, text string, part string").repartition(7)
+    same([(x.doc_id, x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix_dedup.strip(df).collect()], stripped(df))
+
+
+@pytest.mark.parametrize("block", [3, 1 << 16])
+def test_transform_and_prefixes(tmp_path, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
     r = np.random.default_rng(4)
     for _ in range(30):
         strings = [bytes(r.integers(97, 99, int(r.integers(1, 30))).tolist()) for _ in range(int(r.integers(1, 12)))]

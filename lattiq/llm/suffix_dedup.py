@@ -12,7 +12,8 @@ windows with one minimiser (the least hash among a window's ``GRAM``-byte parts)
 2. Segments of the minimisers that are left are gathered likewise: equal ones become one form with its smallest and its
    largest document, so a line that stands in every document is sent once a gathering, not once a document. Gatherings
    are written; their forms are dealt to fragments by minimiser.
-3. All forms of a fragment enter one collection, whose Burrows-Wheeler transform and common prefixes are built
+3. Forms of one minimiser are a collection; where it has one form only, no other string has its windows. All other forms of
+   a fragment enter one Burrows-Wheeler transform with common prefixes, which is built
    column-wise (``transform``) by rounds over sequential files in the task's own folder. Neighbours in suffix order with
    ``LENGTH`` common bytes are equal windows; the smallest document of such a group decides.
 4. What it decides on windows returns to the gatherings, which know where their forms stand, and becomes covered ranges of
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, fragments_for, local_tmp, pieces, small, text_of, tidy
 from .jaccard import FRAGMENT_BYTES, FRAGMENTS, _blocks, _mixed, _powers, _unblock, forget
 
-LENGTH, GRAM = 50, 16
+LENGTH, GRAM = 50, 20
 PARTS = LENGTH - GRAM + 1
 SLICE = 1 << 20
 #: Bytes of texts whose equal minimisers and segments are sent once.
@@ -294,10 +295,10 @@ def _unpack(block: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(block, k, n // np.dtype(k).itemsize, e - n) for k, n, e in zip(kinds, sizes.tolist(), ends.tolist(), strict=True)]
 
 
-#: What a gathering sends to a fragment (smallest and largest document, size and bytes of its forms), what it keeps of a
+#: What a gathering sends to a fragment (smallest and largest document, minimiser, size and bytes of its forms), what it keeps of a
 #: fragment (document's number, place, form's number), what returns (form's number, first window, windows, document), and
 #: its documents (id, mark).
-FORMS, PLACES, ANSWER, DOCS = (np.int64, np.int64, np.uint8, np.uint8), (np.uint32, np.int64, np.uint32), (np.uint32, np.uint8, np.uint8, np.int64), (np.int64, np.int64)
+FORMS, PLACES, ANSWER, DOCS = (np.int64, np.int64, np.uint32, np.uint8, np.uint8), (np.uint32, np.int64, np.uint32), (np.uint32, np.uint8, np.uint8, np.int64), (np.int64, np.int64)
 
 
 def _edges(values: np.ndarray) -> list[int]:
@@ -421,23 +422,23 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             for k, v in enumerate(batch.column(4).to_pylist()):
                 mine = by[edge[k] : edge[k + 1]]
                 hit[mine] = np.isin(code[mine], np.frombuffer(b"".join(v), np.int64))
-            row, first, size, part = row[hit], first[hit], size[hit] + LENGTH - 1, part[hit]
-            by = np.argsort(part, kind="stable")
-            row, first, size, part = row[by], first[by], size[by], part[by]
+            row, first, size, code = row[hit], first[hit], size[hit] + LENGTH - 1, code[hit]
             ids, marks = (batch.column(k).to_numpy() for k in (1, 2))
-            return row, first - begin[row], size, part, data[_spread(first, size)].tobytes(), ids, marks
+            return row, first - begin[row], size, code, data[_spread(first, size)].tobytes(), ids, marks
 
         task = TaskContext.get().partitionId()
         for number, held in enumerate(_gathered(batches, one)):
             base = np.cumsum([0, *(len(x[5]) for x in held)])
             row = np.concatenate([x[0] + b for x, b in zip(held, base.tolist(), strict=False)])
-            at, size, part = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+            at, size, code = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
             raw = b"".join([x[4] for x in held])
             ids, marks = (np.concatenate([x[k] for x in held]) for k in (5, 6))
-            to, by = np.cumsum(size), np.argsort(part, kind="stable")
+            to, by = np.cumsum(size), np.argsort(code >> 32, kind="stable")
             names: dict[bytes, int] = {}
             form = np.array([names.setdefault(raw[b - s : b], len(names)) for b, s in zip(to[by].tolist(), size[by].tolist(), strict=True)], np.int64)
-            row, at, part = row[by], at[by], part[by]
+            row, at, part = row[by], at[by], code[by] >> 32
+            token = np.empty(len(names), np.uint32)
+            token[form] = code[by].astype(np.uint32)
             least, most = np.full(len(names), LAST, np.int64), np.zeros(len(names), np.int64)
             np.minimum.at(least, form, ids[row])
             np.maximum.at(most, form, ids[row])
@@ -447,7 +448,7 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             for a, b in pairwise(_edges(part)):
                 f, t = int(form[a]), int(form[a:b].max()) + 1
                 mine = text[int(ends[f] - length[f]) : int(ends[t - 1])]
-                out.append((name, int(part[a]), _pack(least[f:t], most[f:t], length[f:t].astype(np.uint8), np.frombuffer(mine, np.uint8)), _pack(row[a:b].astype(np.uint32), at[a:b], (form[a:b] - f).astype(np.uint32))))
+                out.append((name, int(part[a]), _pack(least[f:t], most[f:t], token[f:t], length[f:t].astype(np.uint8), np.frombuffer(mine, np.uint8)), _pack(row[a:b].astype(np.uint32), at[a:b], (form[a:b] - f).astype(np.uint32))))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 4, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["slice", "part", "forms", "places"])
         forget()
 
@@ -458,7 +459,7 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
                 blocks.setdefault(part, []).append((name, block))
         for part in list(blocks):
             names, got = zip(*blocks.pop(part), strict=True)
-            least, most, size, data = (np.concatenate(x) for x in zip(*(_unpack(b, *FORMS) for b in got), strict=True))
+            least, most, token, size, data = (np.concatenate(x) for x in zip(*(_unpack(b, *FORMS) for b in got), strict=True))
             of = np.cumsum([0, *(int(np.frombuffer(b, np.int64, 1)[0]) // 8 for b in got)])
             size = size.astype(np.int64)
             raw, to = data.tobytes(), np.cumsum(size)
@@ -467,9 +468,16 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
             owner = np.full(len(number), LAST, dtype=np.int64)
             np.minimum.at(owner, form, least)
             forms, length = np.frombuffer(b"".join(number), np.uint8), np.array([len(k) for k in number])
-            start = np.cumsum(length) - length
-            with local_tmp() as folder:
-                value = smallest(forms, start, length, owner, Path(folder))
+            start, value = np.cumsum(length) - length, np.repeat(owner, length)
+            # forms that are the only one of their minimiser are collections of a single string: no other has their windows
+            minimiser = np.empty(len(number), np.uint32)
+            minimiser[form] = token
+            _, group, members = np.unique(minimiser, return_inverse=True, return_counts=True)
+            near = np.flatnonzero(members[group] > 1)
+            if len(near):
+                own, place = length[near], _spread(start[near], length[near])
+                with local_tmp() as folder:
+                    value[place] = smallest(forms[place], np.cumsum(own) - own, own, owner[near], Path(folder))
             # runs of windows with one smallest document
             windows = length - LENGTH + 1
             where = _spread(start, windows)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -60,8 +61,8 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -70,6 +71,12 @@ class Scratch:
             _delete(self.spark, self.path(name))
             self.names.discard(name)
 
+    def settle(self) -> None:
+        """Lets Spark remove the shuffle files of finished jobs: it does when the driver has collected their frames, so
+        callers drop theirs before. Large jobs call it, as a driver may otherwise not collect garbage for long."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def only(self, *names: str) -> None:
         self.drop(*(self.names - set(names)))
 

@@ -541,9 +541,13 @@ def covered(docs: DataFrame, fragments: int | None = None, scratch: Scratch | No
     repeated = rows.mapInArrow(tidy(minimisers), "part int, block binary, k long, v binary").repartitionById(fragments, F.col("part")).mapInArrow(tidy(count), "k long, v binary")
     repeated = repeated.groupBy("k").agg(F.collect_list("v").alias("v"))
     some = rows.join(repeated, "k").select("k", "d", "h", "text", "v")
-    gathered = scratch.table(some.mapInArrow(tidy(segments), "slice long, part int, forms binary, places binary"), "gathered")
+    gathered = scratch.table(some.mapInArrow(tidy(segments), "slice long, part int, forms binary, places binary"), "gathered", "zstd")
+    del rows, repeated, some
+    scratch.settle()
     forms = gathered.where("part >= 0").select("slice", "part", "forms").repartitionById(fragments, F.col("part"))
     answers = scratch.table(forms.mapInArrow(tidy(decide), "slice long, part int, answer binary"), "answers")
+    del forms
+    scratch.settle()
     both = gathered.select("slice", "part", F.lit(0).alias("kind"), F.col("places").alias("block")).union(answers.select("slice", "part", F.lit(1), "answer"))
     both = both.repartition(max(FRAGMENTS, fragments // 4), "slice").sortWithinPartitions("slice", "part", "kind")
     found = both.mapInArrow(tidy(ranges), "d long, h long, a array<long>, b array<long>")

@@ -6,6 +6,7 @@ import atexit
 import gc
 import os
 import tempfile
+import time
 import uuid
 from functools import reduce
 from operator import add
@@ -74,8 +75,10 @@ class Scratch:
     def settle(self) -> None:
         """Lets Spark remove the shuffle files of finished jobs: it does when the driver has collected their frames, so
         callers drop theirs before. Large jobs call it, as a driver may otherwise not collect garbage for long."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(4):  # the JVM hears of frames that Python has dropped only after a while
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
     def only(self, *names: str) -> None:
         self.drop(*(self.names - set(names)))

@@ -1,15 +1,20 @@
 """Training-order materialisation: token sequences in a keyed random order, in shards of equal rows.
 
-1. Every task concatenates its documents' ids, each closed by id 0, and cuts the stream into sequences of equal length;
-   the last one of a task is padded. Sequences are numbered without gaps from counts a task.
+1. Documents are dealt to buckets by the hash of their id and text. A bucket's documents, by id, make one stream of ids,
+   each closed by id 0, which is cut into sequences of equal length; the last one of a bucket is padded. Sequences are
+   numbered without gaps, bucket by bucket. Numbers follow from the documents and the number of buckets alone, not from
+   the files or tasks that they come in.
 2. A keyed Feistel network over the next even power of two, with cycle-walking back into the range, gives each number its
    slot: a permutation that needs no table and that any worker can compute.
-3. Shard ``s`` holds slots ``s * rows`` to ``(s + 1) * rows - 1`` in order, one file each, every row with as many bytes.
-   Slot k is row ``k % rows`` of shard ``k // rows``: a reader resumes at any slot and reads on in sequence.
+3. Slots are dealt by ranges: a partition holds some whole shards, shard ``s`` holds slots ``s * rows`` to
+   ``(s + 1) * rows - 1`` in order, one file each. Slot k is row ``k % rows`` of shard ``k // rows``. Ids are not
+   compressed and have one width, all of a shard in one page: every row lies at a fixed stride (``place_of``), so a reader
+   can begin anywhere, read on in sequence, and resume.
 
 Sequences travel compressed. Shards are even by construction, whatever the documents are. Defined results: a null or
-empty text gives its closing id; repeated rows are written each; an empty table gives no shard. Columns other than doc_id
-and text are not read.
+empty text gives its closing id; very long texts run over many sequences; repeated rows are written each (one bucket has
+them); null ids come first in their bucket; an empty table gives no shard. Columns other than doc_id (a whole number) and
+text are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -19,15 +24,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, pieces, small, texts_of, tidy
+from .common import Scratch, fragments_for, pieces, small, text_of, texts_of, tidy
 from .tokens import chunks, definition_of
 
 LENGTH, ROWS, ROUNDS = 2048, 1024, 6
+#: Bytes of texts to a bucket; shards to a partition at least, and partitions at most, which then hold more shards.
+BUCKET_BYTES, SHARDS, PARTITIONS = 16 << 20, 4, 50_000
 #: Chunks that a worker keeps encoded: 150 MB, about.
 KEPT = 800_000
 KEY = b"training order 1"
@@ -59,16 +65,17 @@ def slots(numbers: np.ndarray, total: int, key: bytes = KEY, rounds: int = ROUND
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """Rows (part, idx, first_doc, start, n_tokens, body): body is the compressed ids, two bytes each if they fit."""
+def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+    """Rows (bucket, idx, first_doc, start, n_tokens, body): body is the compressed ids, two bytes each if they fit."""
     definition = docs.sparkSession.sparkContext.broadcast(definition_of(tokenizer_path))
+    buckets = buckets or fragments_for(docs, BUCKET_BYTES, 1)
 
     def work(batches):
         import zstandard
 
-        encoder, pack = chunks(definition.value, KEPT), zstandard.ZstdCompressor(level=1)
-        width, part, idx = np.dtype(encoder.width), TaskContext.get().partitionId(), 0
-        held, begins, at = [], [], 0  # ids not yet cut; (place in the stream, doc) of texts that reach into them
+        encoder, pack = chunks(definition.value, KEPT), zstandard.ZstdCompressor(level=2)
+        width = np.dtype(encoder.width)
+        bucket, idx, held, begins, at, total = None, 0, [], [], 0, 0  # held: ids not yet cut; begins: (place, doc) of texts that reach into them
 
         def cut(last: bool):
             nonlocal held, begins, at, idx
@@ -81,7 +88,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> Dat
                 own = int(np.searchsorted(place, at + k * length, side="right")) - 1
                 body = np.zeros(length, width)
                 body[: len(row)] = row
-                rows.append((part, idx, docs_at[own], at + k * length - int(place[own]), len(row), pack.compress(body.tobytes())))
+                rows.append((bucket, idx, docs_at[own], at + k * length - int(place[own]), len(row), pack.compress(body.tobytes())))
                 idx += 1
             done = ends[-1] if ends else 0
             held, at = [ids[done:]], at + done
@@ -91,19 +98,24 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> Dat
         def batch(rows):
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            return pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["part", "idx", "first_doc", "start", "n_tokens", "body"])
+            return pa.RecordBatch.from_arrays(list(map(pa.array, cols, kinds)), names=["bucket", "idx", "first_doc", "start", "n_tokens", "body"])
 
-        total = 0
         for b in pieces(batches, limit=3 << 20):
-            for doc, ids in zip(b.column(0).to_pylist(), encoder.ids(texts_of(b)), strict=True):
+            rows = []
+            for name, doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encoder.ids(texts_of(b)), strict=True):
+                if name != bucket:
+                    rows += cut(True)
+                    bucket, idx, held, begins, at, total = name, 0, [], [], 0, 0
                 ids = np.append(np.frombuffer(ids, "<u4"), 0).astype(width)
                 begins.append((total, doc))
                 held.append(ids)
                 total += len(ids)
-            yield batch(cut(False))
+            yield batch(rows + cut(False))
         yield batch(cut(True))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(work), "part int, idx long, first_doc long, start long, n_tokens int, body binary")
+    rows = docs.select(F.pmod(F.xxhash64("doc_id", text_of()), F.lit(buckets)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), "text")
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", F.xxhash64(text_of()))
+    return rows.mapInArrow(tidy(work), "bucket int, idx long, first_doc long, start long, n_tokens int, body binary")
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH, rows: int = ROWS, key: bytes = KEY, scratch: Scratch | None = None) -> DataFrame:
@@ -112,11 +124,19 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH,
     scratch = scratch or Scratch(spark, "order")
     cut = sequences(docs, tokenizer_path, length)
     cut.write.option("compression", "none").parquet(scratch.path("stream"))  # bodies are compressed already
-    cut = spark.read.schema(cut.schema).parquet(scratch.path("stream"))
-    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # a row to a task
-    base = scratch.table(cut.groupBy("part").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(before, F.lit(0))), "base")
-    total = base.agg(F.sum("n")).first()[0] or 0
+    scratch.names.add("stream")
+    kinds, cut = cut.schema, None
+    scratch.settle()  # texts that were dealt to buckets
+    cut = spark.read.schema(kinds).parquet(scratch.path("stream"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = cut.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("far", F.floor(F.col("bucket") / 1024))
+    counts = scratch.table(counts, "counts")
+    far = counts.groupBy("far").agg(F.sum("n").alias("n")).select("far", before(Window.orderBy("far")).alias("base"))  # a row to 1024 buckets
+    near = counts.select("bucket", "far", before(Window.partitionBy("far").orderBy("bucket")).alias("own"))
+    base = scratch.table(near.join(far, "far").select("bucket", (F.col("base") + F.col("own")).alias("base")), "base")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     shards = -(-total // rows)
+    each = max(SHARDS, -(-shards // PARTITIONS))
 
     def placed(batches):
         for b in batches:
@@ -135,13 +155,22 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, length: int = LENGTH,
             yield pa.RecordBatch.from_arrays([*b.columns[:at], crc, pa.array(ids, pa.binary())], names=[*b.schema.names[:at], "ids_crc32", "ids"])
 
     fields = "number long, first_doc long, start long, n_tokens int"
-    numbered = cut.join(small(base.select("part", "base")), "part").select((F.col("base") + F.col("idx")).alias("number"), "first_doc", "start", "n_tokens", "body")
-    dealt = numbered.mapInArrow(placed, f"slot long, shard long, {fields}, body binary").repartition(max(1, shards), "shard")
-    ready = dealt.mapInArrow(tidy(opened), f"slot long, shard long, {fields}, ids_crc32 long, ids binary").withColumn("row", F.pmod("slot", F.lit(rows)).cast("int"))
-    ready.sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
+    numbered = cut.join(small(base), "bucket").select((F.col("base") + F.col("idx")).alias("number"), "first_doc", "start", "n_tokens", "body")
+    dealt = numbered.mapInArrow(placed, f"slot long, shard long, {fields}, body binary").repartitionById(max(1, -(-shards // each)), F.floor(F.col("shard") / each).cast("int"))
+    ready = dealt.sortWithinPartitions("shard", "slot").mapInArrow(tidy(opened), f"slot long, shard long, {fields}, ids_crc32 long, ids binary").withColumn("row", F.pmod("slot", F.lit(rows)).cast("int"))
+    # one page to a shard's ids, as they are
+    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.page.size": str(1 << 30), "parquet.page.row.count.limit": str(rows), "parquet.block.size": str(1 << 30), "parquet.page.size.row.check.max": str(rows)}
+    ready.write.mode("overwrite").partitionBy("shard").options(**plain).parquet(path)
     return spark.read.schema(f"slot long, {fields}, ids_crc32 long, ids binary, row int, shard long").parquet(path)
 
 
+def place_of(row: int, rows: int, end: int, length: int = LENGTH, width: int = 2) -> tuple[int, int]:
+    """First and last byte + 1 of a row's ids in a shard's file of ``rows`` rows, whose column of ids ends at ``end``: the
+    footer's offset and size of that column. Each row takes its ids and four bytes for their size."""
+    at = end - (rows - row) * (4 + length * width) + 4
+    return at, at + length * width
+
+
 def read_from(spark: SparkSession, path: str, slot: int, count: int, rows: int = ROWS) -> DataFrame:
     """``count`` sequences from ``slot`` on, in order; only their shards are opened."""
     last = (slot + count - 1) // rows
@@ -155,5 +184,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scratch = Scratch(spark, "order")
     made = write(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch.path("shards"), public_tokenizers.path("word_bpe_49k.json"), scratch=scratch)
-    scratch.drop("stream")
+    scratch.only()
     return made.select("slot", "shard", "row", "number", F.col("first_doc").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 from .jaccard import _mixed
 
-KEPT = 120_000
+KEPT = 300_000
 #: The normalisation and word splits by which texts may be cut into chunks.
 SPLITS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -43,7 +43,9 @@ _CUT = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 class Chunks:
     def __init__(self, definition: str, kept: int = KEPT):
-        self.tokenizer, self.known, self.kept = Tokenizer.from_str(definition), {}, kept
+        self.tokenizer, self.kept = Tokenizer.from_str(definition), kept
+        #: Chunks' ids: those used of late, and those used before that; what comes again moves to the first.
+        self.known, self.before = {}, {}
         told = json.loads(definition)
         self.cuts = all(told.get(k) == v for k, v in SPLITS.items()) and told["model"].get("end_of_word_suffix") == "</w>" and not any(told.get(k) for k in ("truncation", "padding"))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -76,9 +78,9 @@ class Chunks:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.cuts:
             return [e.tobytes() for e in self._ids(texts)]
-        known = self.known
-        if len(known) > self.kept:
-            known.clear()
+        if 2 * len(self.known) > self.kept:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
         raw = [t.encode() for t in texts]
         # special tokens are told apart by case and marks: their texts go to the tokenizer as they are
         special = {k: ids.tobytes() for k in range(len(raw)) if b"<|" in raw[k] for ids in self._ids([texts[k]])}
@@ -88,7 +90,13 @@ class Chunks:
             return [special.get(k, b"") for k in range(len(raw))]
         first, number = _distinct(data, begin, end)
         forms = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        missing = [c for c in forms if c not in known]
+        missing = []
+        for c in forms:
+            if c not in known:
+                if c in before:
+                    known[c] = before[c]
+                else:
+                    missing.append(c)
         for k in range(0, len(missing), 20_000):
             self._encode(missing[k : k + 20_000])
         values = [known[c] for c in forms]

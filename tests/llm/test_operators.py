@@ -76,13 +76,50 @@ def test_other_tokenizers_get_whole_texts():
     assert not encoder.cuts and [np.frombuffer(x, "<u4").tolist() for x in encoder.ids(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def plain_slot(x, total, key=token_order.KEY):
+    """The keyed permutation, number by number."""
+    half = max(1, (max(total - 1, 1).bit_length() + 1) // 2)
+    mask, all64 = (1 << half) - 1, (1 << 64) - 1
+    while True:
+        left, right = x >> half, x & mask
+        for n in range(6):
+            f = (right ^ int.from_bytes(hashlib.blake2b(key + bytes([n]), digest_size=8).digest(), "little")) * 0xFF51AFD7ED558CCD & all64
+            f = (f ^ f >> 32) * 0xC4CEB9FE1A85EC53 & all64
+            left, right = right, left ^ (f ^ f >> 29) & mask
+        x = left << half | right
+        if x < total:
+            return x
+
+
 def test_training_order(spark, docs, none, tmp_path):
-    made = token_order.write(docs, f"file://{tmp_path}/a", PATH, length=64, rows=10).toPandas().sort_values("number")
-    assert sorted(made.slot) == list(range(len(made)))
-    assert ((made.slot // 10 == made.shard) & (made.slot % 10 == made.row)).all() and set(made.ids.map(len)) == {128}
-    stream = np.concatenate([np.frombuffer(x, "<u2")[:n] for x, n in zip(made.ids, made.n_tokens, strict=True)])
-    assert Counter(stream.tolist()) == Counter(i for _, t in plain(docs) for i in encoded(t))
-    assert [r.slot for r in token_order.read_from(spark, f"file://{tmp_path}/a", 7, 20, 10).collect()] == list(range(7, 27))
+    """Every row against a plain version, from files dealt in two ways; every row at its place in its file."""
+    import pyarrow.parquet as pq
+
+    path, buckets = f"{tmp_path}/a", max(1, -(-sum(len(t.encode()) for _, t in plain(docs)) // token_order.BUCKET_BYTES))
+    made = token_order.write(docs, f"file://{path}", PATH, length=64, rows=10).toPandas().sort_values("slot")
+    marked = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))), F.lit(buckets)).alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    streams = defaultdict(list)
+    for r in sorted(marked, key=lambda r: (r.b, r.doc_id is not None, r.doc_id or 0, r.h)):
+        streams[r.b] += [(r.doc_id, k, i) for k, i in enumerate(encoded(r.text or ""))]
+    cut = [x[k : k + 64] for b in sorted(streams) for x in [streams[b]] for k in range(0, len(x), 64)]
+    want = []
+    for number, x in enumerate(cut):
+        slot, ids = plain_slot(number, len(cut)), [i for *_, i in x] + [0] * (64 - len(x))
+        want.append((slot, slot // 10, slot % 10, number, x[0][0], x[0][1], len(x), zlib.crc32(np.array(ids, "<u2").tobytes()), np.array(ids, "<u2").tobytes()))
+    plain_row = lambda r: (r.slot, r.shard, r.row, r.number, None if r.first_doc != r.first_doc else int(r.first_doc), r.start, r.n_tokens, r.ids_crc32, bytes(r.ids))
+    assert [plain_row(r) for r in made.itertuples()] == sorted(want)
+    again = token_order.write(docs.repartition(5, "text").select("text", "doc_id"), f"file://{tmp_path}/c", PATH, length=64, rows=10).toPandas().sort_values("slot")
+    assert [plain_row(r) for r in again.itertuples()] == sorted(want)
+    for shard in range(-(-len(cut) // 10)):
+        (file,) = [x for x in (tmp_path / "a" / f"shard={shard}").iterdir() if x.name.endswith(".parquet")]
+        meta = pq.read_metadata(file)
+        column = next(c for k in range(meta.num_columns) for c in [meta.row_group(0).column(k)] if c.path_in_schema == "ids")
+        assert meta.num_row_groups == 1
+        for x in want:
+            if x[1] == shard:
+                a, b = token_order.place_of(x[2], meta.num_rows, column.data_page_offset + column.total_compressed_size, 64)
+                assert file.read_bytes()[a:b] == x[8]
+    assert [r.slot for r in token_order.read_from(spark, f"file://{path}", 7, 20, 10).collect()] == list(range(7, 27))
     assert token_order.write(none, f"file://{tmp_path}/b", PATH).count() == 0
 
 

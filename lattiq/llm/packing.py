@@ -104,7 +104,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, wi
 
     def work(batches):
         encoder = chunks(definition.value)
-        for batch in pieces(batches, limit=1 << 20):
+        for batch in pieces(batches, limit=2 << 20):
             row, cut, held = [], [], []
             for i, ids in enumerate(encoder.ids(texts_of(batch))):
                 ids += END

@@ -8,6 +8,7 @@ Texts go to any other tokenizer as they are, whole.
 from __future__ import annotations
 
 import json
+import os
 from functools import cache
 
 import numpy as np
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 
 from .jaccard import _mixed
 
-KEPT = 300_000
+KEPT = 400_000
 #: The normalisation and word splits by which texts may be cut into chunks.
 SPLITS = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -55,21 +56,23 @@ class Chunks:
 
     def _encode(self, missing: list[bytes]) -> None:
         """Plain words go in long rows, cut again at the ids that end words; other chunks one by one."""
-        text = [c.decode() for c in missing]
-        plain = [k for k, t in enumerate(text) if t.isalpha() and max(t) < "\u0100"]
+        known = self.known
+        plain, rest = [], []
+        for c in missing:
+            word = c.isalpha() or (t := c.decode()).isalpha() and max(t) < "\u0100"
+            (plain if word else rest).append(c)
         rows = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        done = set()
-        for row, e in zip(rows, self._ids([" ".join([text[k] for k in row]) for row in rows]), strict=True):
+        for row, e in zip(rows, self._ids([b" ".join(row).decode() for row in rows]), strict=True):
             to = (np.flatnonzero(self.ends[e]) + 1).tolist()
             if len(to) == len(row):
                 raw, at = e.tobytes(), 0
-                for k, end in zip(row, to, strict=True):
-                    self.known[missing[k]] = raw[4 * at : 4 * end]
+                for c, end in zip(row, to, strict=True):
+                    known[c] = raw[4 * at : 4 * end]
                     at = end
-                done.update(row)
-        rest = [k for k in range(len(missing)) if k not in done]
-        for k, e in zip(rest, self._ids([text[k] for k in rest]), strict=True):
-            self.known[missing[k]] = e.tobytes()
+            else:
+                rest += row
+        for c, e in zip(rest, self._ids([c.decode() for c in rest]), strict=True):
+            known[c] = e.tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -90,17 +93,18 @@ class Chunks:
             return [special.get(k, b"") for k in range(len(raw))]
         first, number = _distinct(data, begin, end)
         forms = [data[a:b] for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        missing = []
-        for c in forms:
-            if c not in known:
-                if c in before:
-                    known[c] = before[c]
-                else:
-                    missing.append(c)
+        values = list(map(known.get, forms))
+        missing = [k for k, v in enumerate(values) if v is None]
+        for k in missing:
+            v = before.get(forms[k])
+            if v is not None:
+                values[k] = known[forms[k]] = v
+        missing = [k for k in missing if values[k] is None]
         for k in range(0, len(missing), 20_000):
-            self._encode(missing[k : k + 20_000])
-        values = [known[c] for c in forms]
-        size = np.array([len(v) for v in values]) // 4
+            self._encode([forms[m] for m in missing[k : k + 20_000]])
+        for k in missing:
+            values[k] = known[forms[k]]
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
         count, at = size[number], (np.cumsum(size) - size)[number]
         stop = np.cumsum(count)
         out = np.frombuffer(b"".join(values), "<u4")[np.repeat(at - (stop - count), count) + np.arange(stop[-1])].tobytes()
@@ -154,7 +158,8 @@ def _distinct(data: bytes, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 @cache
 def chunks(definition: str, kept: int = KEPT) -> Chunks:
-    """The worker's cache for a tokenizer, kept from task to task."""
+    """The worker's cache for a tokenizer, kept from task to task. A task has one core, so the library starts no threads."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Chunks(definition, kept)
 
 

@@ -17,6 +17,7 @@ QUERIES = {
     "op10_ngram_jaccard_join": jaccard.query,
 }
 ORACLES: dict[str, str] = {
+    "op4_secret_trigrams": secret_scan.ORACLE,
     "op5_suffix_columns": suffix_dedup.ORACLE,
     "op7_decontamination_index": decontam.ORACLE,
     "op10_ngram_jaccard_join": jaccard.ORACLE,

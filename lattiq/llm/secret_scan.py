@@ -5,8 +5,9 @@ named trigrams is built; postings are intersected and joined as the queries say,
 query are verified with its expression. Rules without mandatory trigrams (``hex``) scan every text. Whole texts are
 read; there is no shuffle, and memory is bounded by a slice of about 2 MB or the longest text.
 
-Defined results: a null text is empty; each row of the input gives one row, repeated ones too; an empty table gives an
-empty result. Columns other than doc_id and text are not read by ``scan``.
+Defined results: a null text is empty; each row of the input gives one row, repeated ones too; spans of different kinds
+may overlap, those that begin together stand in the kinds' order; a very long text is read whole; an empty table gives an
+empty result. Columns other than doc_id and text are not read by ``scan``, whatever their names are.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ BASE = {
     "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 18),
     "hex": (r"[0-9a-f]{16,}", lambda m: True),
 }
-#: A private key through its END line. Without one: the header's fields and the base64 lines that follow; a short one
-#: counts if it is a whole line. Line ends may be written as escapes.
+_LINES = r"(?:[\x09-\x0D\x20]|\\[nr])++"
+#: A private key through its END line. Without one: the header's fields and the base64 lines that follow; a last short one
+#: if it is padded. Line ends may be written as escapes.
 _PEM = (
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----)[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
-    r"|(?:(?:\s|\\[nr])++(?:Proc-Type|DEK-Info):[^\n\\]*+)*+"
-    r"(?:(?:\s|\\[nr])++[A-Za-z0-9+/=]{16,}+|[\t\r ]*+(?:\n|\\[nr])(?:\s|\\[nr])*+[A-Za-z0-9+/=]++(?=[\t\r ]*(?:\n|\\[nr]|\Z)))*+)"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:-{0,4}[^-])*+-----END [A-Z ]*PRIVATE KEY-----"
+    rf"|(?:{_LINES}(?:Proc-Type|DEK-Info):[^\n\\]*+)*+(?:{_LINES}[A-Za-z0-9+/=]{{16,}}+)*+(?:{_LINES}[A-Za-z0-9+/]+={{1,2}})?)"
 )
 #: Kinds of well-known token formats, after those of the contract.
 MORE = {
@@ -43,7 +44,7 @@ MORE = {
     "pay": (r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}", lambda m: True),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", lambda m: True),
     "pem": (_PEM, lambda m: True),
-    "login": (r"://[^\s/:@]++:[^\s/:@]++@[A-Za-z0-9]", lambda m: True),
+    "login": (r"://[^\x00-\x20/:@]++:[^\x00-\x20/:@]++@[A-Za-z0-9]", lambda m: True),
 }
 KINDS = [*BASE, *MORE]
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
@@ -132,3 +133,33 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; their secrets are replaced."""
     return redact(docs)
+
+
+def _sql() -> str:
+    """DuckDB SQL: matches by the same expressions, places from the lengths of matches and of what lies between them."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    parts = []
+    for k, (kind, (p, _)) in enumerate((BASE | MORE).items()):
+        p = p.replace("*+", "*").replace("++", "+").replace("}+", "}")
+        if kind == "assign":
+            names = "|".join(map(either, ("password", "passwd", "secret", "token", "api_?key")))
+            p = f"({names})" + p[p.index("))") + 2 :]
+        p = p.replace("'", "''")
+        value, least = ("regexp_extract_all(t, '%s', 2)" % p, 12) if kind == "assign" else ("m", 18 if kind == "access" else 0)
+        parts.append(
+            f"""SELECT doc_id, unnest(list_filter(list_transform(m, lambda x, i: {{'s': list_sum(list_transform(gaps[1:i], lambda g: length(g)))
+    + coalesce(list_sum(list_transform(m[1:i - 1], lambda g: length(g))), 0), 'k': {k}, 'kind': '{kind}', 'n': length(x), 'keep': length(vals[i]) >= {least}}}), lambda x: x.keep)) AS x
+  FROM (SELECT doc_id, m, {value} AS vals, regexp_split_to_array(t, '{p}') AS gaps FROM (SELECT doc_id, t, regexp_extract_all(t, '{p}') AS m FROM d) WHERE len(m) > 0)"""
+        )
+    told = "string_agg(concat(x.kind, ':', CAST(x.s AS BIGINT), ':', CAST(x.s + x.n AS BIGINT)), ',' ORDER BY x.s, x.k)"
+    count = lambda k: f"CAST(coalesce(count(*) FILTER (x.k = {k}), 0) AS BIGINT)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({" UNION ALL ".join(parts)}),
+g AS (SELECT doc_id, {count(0)} AS n_assign, {count(1)} AS n_access, {count(2)} AS n_hex, {told} FILTER (x.k < 3) AS base, {told} AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+
+ORACLE = _sql()

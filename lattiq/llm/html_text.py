@@ -1,6 +1,7 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped so that every block of a page becomes a line. Lines inside menus, forms and the like weigh nothing;
+Markup is stripped so that every block of a page becomes a line. Lines inside menus, forms and the like (by element, role,
+class or id) weigh nothing;
 others weigh their characters outside of links, white space apart. Weights are summed over sliding windows of lines; a
 surge is where the sum rises from nothing, a dive where it falls to nothing again. A stretch between a surge and a dive is
 judged by itself: it stays, whatever its length, if at least ``DENSITY`` of its characters are outside of links; the
@@ -8,9 +9,9 @@ heaviest one always stays. Blocks without weight between the first and the last
 that mark an article (article, main) only add to that: where a kept stretch has weight in one, all of its blocks stay,
 the first and last ones too.
 
-No shuffle; a page is read whole. Defined results: a null or empty page gives an empty text; a page without any weight
-gives an empty text; repeated rows are extracted each; an empty table gives an empty result. Columns other than page_id,
-url and html are not read.
+No shuffle; a page is read whole, however long it is. Defined results: a null or empty page gives an empty text; a page
+without any weight gives an empty text; a tag that the page breaks off in is markup; repeated rows are extracted each; an
+empty table gives an empty result. Columns other than page_id, url and html are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ WINDOW, DENSITY = 3, 1 / 3
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|select|textarea|iframe|object|title)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>"']+|"[^"]*"|'[^']*')*+)/?>|<[!?/a-zA-Z][^>]*>""",
+    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^<>"']+|"[^"]*"|'[^']*')*+)/?>|<[!?/a-zA-Z][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
@@ -38,12 +39,17 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
 _NEST = frozenset("article aside body button details dialog div dl fieldset figure footer form head header main menu nav ol section span table td ul".split())
 _APART = frozenset("aside button dialog footer form head menu nav".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Parts of class and id names that mark what is not the article.
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments consent cookie cookies copyright disclaimer discussion disqus dropdown footer "
-    "form gdpr header hidden login masthead menu menus modal nav navbar navigation newsletter notice notices pager pagination popup popular privacy promo promoted promotion related "
-    "replies reply respond responses search share sharing sidebar sidebars signup skip social sponsor sponsored sponsors subscribe subscription toolbar topbar trending widget widgets".split()
+#: Words of class and id names that mark what is not the article, in any compound.
+_STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments consent cookie cookies disqus footer gdpr masthead menu menus modal nav navbar navigation newsletter "
+    "pager pagination popup promo promoted promotion sidebar sidebars signup sponsor sponsored sponsors subscribe subscription toolbar topbar".split()
 )
+#: Words that do so alone, or among these and words for boxes: an article has an entry-header and may tell of search-results.
+_WEAK = frozenset(
+    "banner byline comment copyright disclaimer discussion dropdown form header hidden login notice notices popular privacy related replies reply respond responses search share "
+    "sharing skip social trending widget widgets".split()
+)
+_BOXES = frozenset("area bar block body box bottom buttons col column container content global group inner item items left links list main outer page panel right row section site slot top wrap wrapper".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
@@ -58,8 +64,11 @@ def _apart(tag: str, attributes: str) -> bool:
             return True
         if name == "role" and value in _ROLES:
             return True
-        if name in ("class", "id") and not _NAMES.isdisjoint(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value))):
-            return True
+        if name in ("class", "id"):
+            for compound in value.split():
+                words = set(re.findall(r"[a-z]+", compound))
+                if words & _STRONG or words & _WEAK and words <= _WEAK | _BOXES:
+                    return True
     return False
 
 

@@ -527,16 +527,53 @@ PAGES = [
     (4, None, "", ""),
     (5, "u", "no markup at all", "no markup at all"),
     (6, "u", "<nav>only a menu</nav>", ""),
-    (7, "u", "<p>a < b &lt;c&gt; <!-- <p>no</p> --> d</p><p", "a < b <c> d\n<p"),
+    (7, "u", "<p>a < b &lt;c&gt; <!-- <p>no</p> --> d</p><p", "a < b <c> d"),
+    (8, "u", "<div class='post'><div class='entry-header'><h1>The title</h1></div><p>A paragraph that is long enough to count.</p><p class='search-results-intro'>Results of the search.</p><div class='site-header wrap'>x</div></div>", "The title\nA paragraph that is long enough to count.\nResults of the search."),
+    (8, "u", "<div class='post'><div class='entry-header'><h1>The title</h1></div><p>A paragraph that is long enough to count.</p><p class='search-results-intro'>Results of the search.</p><div class='site-header wrap'>x</div></div>", "The title\nA paragraph that is long enough to count.\nResults of the search."),
+    (None, "u", "<article><p>" + "long words " * 200_000 + "</p></article>", ("long words " * 200_000).strip()),
 ]
 
 
 def test_main_text(spark):
-    df = spark.createDataFrame([p[:3] for p in PAGES], "page_id long, url string, html string")
+    df = spark.createDataFrame([(*p[:3], "x", 1) for p in PAGES], "page_id long, url string, html string, text string, n_chars long")
     same([tuple(r) for r in html_text.extract(df).collect()], [(p[0], p[1], p[3], len(p[3])) for p in PAGES])
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def generated(r):
+    """A page and the text of its article, written block by block."""
+    word = lambda: "".join(r.choice("abcdeéñ") for _ in range(r.randint(2, 8)))
+    say = lambda lo, hi: " ".join(word() for _ in range(r.randint(lo, hi)))
+    link = lambda: f'<a href="/{word()}">{say(1, 3)}</a>'
+    menu = lambda: f"<nav><ul>{''.join(f'<li>{link()}</li>' for _ in range(r.randint(2, 9)))}</ul></nav>"
+    apart = [menu, lambda: f'<div class="ad">{say(3, 30)}</div>', lambda: f'<div class="{r.choice(["cookie-notice", "sidebar", "share-box", "related items", "newsletter"])}"><p>{say(2, 20)}</p></div>', lambda: f"<aside><p>{say(2, 20)}</p></aside>", lambda: f"<!-- {say(1, 5)} --><script>var x = '<p>{say(1, 4)}</p>';</script>", lambda: f"<form><label>{say(1, 2)}</label><input value={word()}></form>"]
+    body, want = [], []
+    for _ in range(r.randint(1, 12)):
+        text = say(8, 60)
+        shown = text.replace(" ", r.choice([" ", "\n  ", " <b>"]), 1).replace(" ", "&#32;", 1)
+        if r.random() < 0.2:
+            shown, text = f"{shown} &amp; {link_text}" if (link_text := word()) else shown, f"{text} & {link_text}"
+        body.append(r.choice(["<p>{}</p>", "<p>{}", "<div>{}</div>", "<blockquote>{}</blockquote>", "<h2>{}</h2>"]).format(shown))
+        want.append(text)
+        if r.random() < 0.3:
+            body.append(r.choice(apart)())
+    title = say(1, 6)
+    head = r.choice(["<h1>{}</h1>", '<div class="entry-header"><h1>{}</h1></div>', "<header><h1>{}</h1></header>"]).format(title)
+    kind = r.choice(["article", "main"]) if head.startswith("<header") else r.choice(["article", "main", "div", "section"])
+    out = f"<html><head><title>{title}</title></head><body><header>{say(1, 4)}</header>{menu()}<{kind}>{head}{''.join(body)}</{kind}>"
+    out += f'<section class="comments"><p>{say(20, 90)}</p></section><footer>&copy; {say(2, 9)}</footer></body></html>'
+    return out, "\n".join([title, *want])
+
+
+def test_generated_pages():
+    import random
+
+    r = random.Random(31)
+    for _ in range(300):
+        page, text = generated(r)
+        assert html_text.main_text(page) == text, page
+
+
 LONG = "A sentence of the story that goes on for a while. " * 8
 
 

@@ -1,7 +1,10 @@
 """N-gram Jaccard join by vertical partitioning, and the groups that its links make.
 
-The global order of shingles is by document frequency (in steps of a quarter octave), then by hash: rare ones first.
+The global order of shingles is by document frequency (in steps of half an octave), then by hash: rare ones first.
 
+0. Shingles that many documents of a bounded sample have (``frequent``; the sample and the share are parameters) come
+   last in the order. They are known to be shared and need no count, so no task has to see all documents of one of them.
+   Any order gives the same links: the sample decides on work alone.
 1. Every document becomes its set of 64-bit shingle hashes. Shingles are dealt to fragments by hash, packed as binary
    blocks, so a shuffled row carries thousands of them. Each fragment counts document frequencies of all its shingles;
    those of one document only go no further.
@@ -21,8 +24,8 @@ few limits.
 
 Defined results: a null or wordless text has an empty set and is its own component; fewer than five words are one
 shingle; repeated rows are copies; an empty table gives an empty result; a null doc_id takes part but never names a
-component. Columns other than doc_id and text are not read. Sets are held as hashes of 64 bits (in a fragment, of 32 bits
-and the fragment's number); equal hashes count as equal shingles.
+component; a very long text is one set like others. Columns other than doc_id and text are not read, whatever their names
+are. Sets are held as hashes of 64 bits, of which pairs compare the 56 upper ones; equal hashes count as equal shingles.
 """
 
 from __future__ import annotations
@@ -44,6 +47,12 @@ WIDTH = 5
 THRESHOLD = 75
 #: Bytes of input to a fragment's task, and the least number of fragments.
 FRAGMENT_BYTES, FRAGMENTS = 4 << 20, 32
+#: Documents of the sample for frequent shingles, about, and the share of them from which a shingle is frequent.
+SAMPLE, SHARE = 20_000, 0.01
+#: Documents of a prefix shingle to a task.
+HEAVY = 20_000
+#: Steps of document frequency; the last one is that of frequent shingles.
+LAST_STEP = 127
 #: Cuts of the global order for counting overlaps.
 CUTS = 4
 #: Shingles after a shared one that are looked at before a pair across components becomes a candidate.
@@ -120,13 +129,13 @@ def _blocks(group: np.ndarray, key: np.ndarray, tokens: np.ndarray, extra: np.nd
         yield int(group[a]), b"".join(p.tobytes() for p in parts) + (extra[a:b].tobytes() if extra is not None else b"")
 
 
-def _unblock(block: bytes, with_extra: bool = False) -> tuple[np.ndarray, ...]:
+def _unblock(block: bytes, with_extra: bool = False, kind=np.uint32) -> tuple[np.ndarray, ...]:
     """Key of each entry, tokens, and extra bytes if there are."""
-    n = int(np.frombuffer(block, np.uint32, 1)[0])
+    n, width = int(np.frombuffer(block, np.uint32, 1)[0]), np.dtype(kind).itemsize
     key, size = np.frombuffer(block, np.int64, n, 4), np.frombuffer(block, np.uint32, n, 4 + 8 * n)
     total, at = int(size.sum()), 4 + 12 * n
-    out = (np.repeat(key, size), np.frombuffer(block, np.uint32, total, at))
-    return (*out, np.frombuffer(block, np.uint8, total, at + 4 * total)) if with_extra else out
+    out = (np.repeat(key, size), np.frombuffer(block, kind, total, at))
+    return (*out, np.frombuffer(block, np.uint8, total, at + width * total)) if with_extra else out
 
 
 def _batch(schema: T.StructType, kinds: list[pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
@@ -134,6 +143,26 @@ def _batch(schema: T.StructType, kinds: list[pa.DataType], rows: list[tuple]) ->
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
 
 
+def frequent(docs: DataFrame, width: int = WIDTH, sample: int = SAMPLE, share: float = SHARE) -> np.ndarray:
+    """Sorted hashes of the shingles that at least ``share`` of about ``sample`` documents have: at most a document's mean
+    number of shingles divided by ``share``."""
+    rows = docs.select("text").where("text is not null")
+    total = rows.count()
+
+    def count(batches):
+        for batch in pieces(batches, limit=SLICE):
+            norm = [t for t in map(_normal, texts_of(batch)) if t]
+            h, n = np.unique(np.concatenate([np.empty(0, _U), *(shingles(norm, width) if norm else [])]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(n)], names=["h", "n"])
+        forget()
+
+    if total > sample:
+        rows = rows.sample(sample / total, seed=7)
+    least = max(2, int(min(total, sample) * share))
+    found = rows.mapInArrow(tidy(count), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r.h for r in found.select("h").collect()], dtype=np.int64).astype(_U))
+
+
 def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragments: int | None = None) -> DataFrame:
     """Rows (key, doc_id, n) of all documents, and rows (key, n, prefix, tokens) of classes that may have a link.
 
@@ -143,18 +172,20 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
     if fragments is None:
         fragments = fragments_for(docs, FRAGMENT_BYTES, FRAGMENTS)
     slots = max(FRAGMENTS // 2, fragments // 2)
+    known = docs.sparkSession.sparkContext.broadcast(frequent(docs, width))
     idf = T.StructField("doc_id", docs.schema["doc_id"].dataType)
     ida = pa.from_numpy_dtype(np.int64)
     ida = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}.get(idf.dataType.simpleString(), ida)
     head = [T.StructField("key", T.LongType()), idf, T.StructField("n", T.LongType())]
     kinds = [pa.int64(), ida, pa.int64()]
     one = T.StructType([T.StructField("part", T.IntegerType()), *head, T.StructField("block", T.BinaryType())])
-    two = T.StructType([T.StructField("slot", T.IntegerType()), *head, T.StructField("part", T.IntegerType()), T.StructField("block", T.BinaryType())])
+    two = T.StructType([T.StructField("slot", T.IntegerType()), *head, T.StructField("block", T.BinaryType())])
     longs = T.ArrayType(T.LongType())
     three = T.StructType([*head, T.StructField("prefix", longs), T.StructField("tokens", longs)])
 
     def shred(batches):
         seen: set[int] = set()  # classes whose shingles this task has sent
+        often = np.append(known.value, _U(0))  # one more, that stands behind
         for batch in pieces(batches, limit=SLICE):
             norm = [_normal(t) for t in texts_of(batch)]
             keys = [_key(t) for t in norm]
@@ -172,36 +203,46 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
             if send:
                 h = np.concatenate(send)
                 key = np.repeat(np.array(send_key, dtype=np.int64), [len(x) for x in send])
-                part = (((h >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.uint16)
+                mine = often[np.searchsorted(often[:-1], h)] == h
+                # frequent ones go on to their classes' slots
+                slot, own, same = key[mine] % slots, key[mine], h[mine]
+                order = np.lexsort((own, slot))
+                last = np.full(len(own), LAST_STEP, np.uint8)
+                rows += [(p % fragments, p, None, None, b) for p, b in _blocks(slot[order], own[order], same[order], last)]
+                h, key = h[~mine], key[~mine]
+                part = (((h >> _U(32)) * _U(fragments)) >> _U(32)).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                rows += [(p, None, None, None, b) for p, b in _blocks(part[order], key[order], h[order].astype(np.uint32))]
+                rows += [(p, None, None, None, b) for p, b in _blocks(part[order], key[order], h[order])]
             yield _batch(one, [pa.int32(), *kinds, pa.binary()], rows)
         forget()
 
     def count(batches):
         blocks: dict[int, list[bytes]] = {}
-        k2 = [pa.int32(), *kinds, pa.int32(), pa.binary()]
+        k2 = [pa.int32(), *kinds, pa.binary()]
         for batch in batches:
             rows = []
             for part, key, doc, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block is None:
-                    rows.append((key % slots, key, doc, n, None, None))
+                    rows.append((key % slots, key, doc, n, None))
+                elif key is not None:
+                    rows.append((key, None, None, None, block))
                 else:
                     blocks.setdefault(part, []).append(block)
             yield _batch(two, k2, rows)
         for part in list(blocks):
-            key, token = (np.concatenate(x) for x in zip(*map(_unblock, blocks.pop(part)), strict=True))
-            names, number = np.unique(key, return_inverse=True)
-            both = np.unique(token.astype(_U) << _U(32) | number.astype(_U))  # a class counts once
-            token, number = (both >> _U(32)).astype(np.uint32), (both & _U(0xFFFFFFFF)).astype(np.int64)
-            new = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            key, token = (np.concatenate(x) for x in zip(*(_unblock(b, kind=_U) for b in blocks.pop(part)), strict=True))
+            by = np.lexsort((key, token))
+            token, key = token[by], key[by]
+            new = np.concatenate(([True], token[1:] != token[:-1]))
+            once = new | np.concatenate(([True], key[1:] != key[:-1]))  # a class counts once
+            token, key, new = token[once], key[once], np.flatnonzero(new[once])
             df = np.diff(np.append(new, len(token)))
             df = np.repeat(df, df)
             more = df > 1
-            token, key, step = token[more], names[number[more]], np.floor(4 * np.log2(df[more])).astype(np.uint8)
+            token, key, step = token[more], key[more], np.minimum(2 * np.log2(df[more]), LAST_STEP).astype(np.uint8)
             slot = key % slots
             order = np.lexsort((key, slot))
-            yield _batch(two, k2, [(s, None, None, None, part, b) for s, b in _blocks(slot[order], key[order], token[order], step[order])])
+            yield _batch(two, k2, [(s, None, None, None, b) for s, b in _blocks(slot[order], key[order], token[order], step[order])])
 
     def prefixes(batches):
         size: dict[int, int] = {}
@@ -209,14 +250,14 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
         k3 = [*kinds, pa.list_(pa.int64()), pa.list_(pa.int64())]
         for batch in batches:
             rows = []
-            for _, key, doc, n, part, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, key, doc, n, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if block is None:
                     size[key] = n
                     rows.append((key, doc, n, None, None))
                 else:
-                    k, token, step = _unblock(block, True)
+                    k, token, step = _unblock(block, True, _U)
                     keys.append(k)
-                    order_of.append(step.astype(np.int64) << 48 | np.int64(part) << 32 | token.astype(np.int64))
+                    order_of.append((step.astype(_U) << _U(56) | token >> _U(8)).astype(np.int64))
             yield _batch(three, k3, rows)
         if not keys:
             return
@@ -225,6 +266,8 @@ def sets(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, fragme
         order_of.clear()
         by = np.lexsort((place, key))
         key, place = key[by], place[by]
+        once = np.append(True, (key[1:] != key[:-1]) | (place[1:] != place[:-1]))  # tasks may have sent a class each
+        key, place = key[once], place[once]
         new = np.append(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))), len(key)).tolist()
         rows = []
         for a, b in zip(new, new[1:], strict=False):
@@ -297,8 +340,13 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
     meta = made.where("prefix is null").select("doc_id", "key", "n")
     classes = made.where("prefix is not null").select("key", "n", "prefix", "tokens")
     postings = classes.select("key", "n", F.size("tokens").alias("m"), F.posexplode("prefix").alias("i", "t")).select("key", "n", "t", (F.col("m") - F.col("i")).alias("rest"))
-    shared = postings.groupBy("t").agg(F.count("*").alias("df")).where("df > 1").select("t")
-    postings = scratch.table(postings.join(shared, "t"), "postings")
+    shared = scratch.table(postings.groupBy("t").agg(F.count("*").alias("df")).where("df > 1"), "shared")
+    # documents of a heavy shingle are dealt to ``w`` tasks, each of which gets what it is joined with
+    heavy = small(shared.where(F.col("df") > HEAVY).select("t", F.ceil(F.col("df") / HEAVY).alias("w")))
+    dealt = lambda y: y.withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") - 1)))
+    weight = F.coalesce("w", F.lit(1).cast("long"))
+    postings = postings.join(heavy, "t", "left").withColumn("w", weight).withColumn("s", F.pmod(F.xxhash64("key"), F.col("w")))
+    postings = scratch.table(postings.join(dealt(shared.select("t", F.ceil(F.col("df") / HEAVY).alias("w"))).drop("w"), ["t", "s"], "left_semi"), "postings")
     in_order = F.explode("tokens").alias("x")
     quantiles = classes.select(in_order).agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 1000)).first()[0] or []
     cuts = sorted(set(quantiles))
@@ -307,24 +355,27 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
     for r in range(rounds + 1):
         if r:  # what shares a shingle with another component
             open_ = postings.join(labels.select(F.col("v").alias("key"), "c"), "key", "left").withColumn("c", F.coalesce("c", "key"))
-            mixed = open_.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("t")
-            open_ = scratch.table(open_.join(mixed, "t"), f"open{r}")
+            mixed = open_.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("w").alias("w")).where("lo <> hi")
+            open_ = scratch.table(open_.join(dealt(mixed.select("t", "w")).select("t", "s"), ["t", "s"], "left_semi"), f"open{r}")
             if open_.isEmpty():
                 break
         names = {"key": "a", "n": "na", "c": "ca", "rest": "ra"}
         if r < rounds:
             best = F.col("rest").cast("long") if not r else F.xxhash64("key", F.lit(r))
-            y = open_.groupBy("t").agg(F.max_by(F.struct("key", "n", "c", "rest"), best).alias("p"))
-            y = y.select("t", *[F.col(f"p.{k}").alias(v.replace("a", "b")) for k, v in names.items()])
-            x = open_.select("t", *[F.col(k).alias(v) for k, v in names.items()])
-            pairs = x.join(y, "t").where("ca <> cb").where(_fits(threshold))
+            y = dealt(open_.groupBy("t").agg(F.max_by(F.struct("key", "n", "c", "rest"), best).alias("p"), F.max("w").alias("w")))
+            y = y.select("t", "s", *[F.col(f"p.{k}").alias(v.replace("a", "b")) for k, v in names.items()])
+            x = open_.select("t", "s", *[F.col(k).alias(v) for k, v in names.items()])
+            pairs = x.join(y, ["t", "s"]).where("ca <> cb").where(_fits(threshold))
         else:
             ahead = F.slice("tokens", F.size("tokens") - F.col("rest") + 2, AHEAD).alias("f")
             names["f"] = "fa"
-            x = open_.join(classes.select("key", "tokens"), "key").select("t", "key", "n", "c", "rest", ahead)
-            x = scratch.table(x, "ahead").select("t", *[F.col(k).alias(v) for k, v in names.items()])
-            y = x.select("t", *[F.col(v).alias(v[:-1] + "b" if v != "a" else "b") for v in names.values()])
-            pairs = x.join(y, "t").where("a < b and ca <> cb").where(_fits(threshold) & _fits_ahead(threshold))
+            # sets of a heavy shingle meet those of their own and the next size bands: others differ too much in size
+            band = F.floor(F.log("n") / (1.01 * math.log(100 / threshold))) if threshold < 100 else F.col("n")
+            x = open_.join(classes.select("key", "tokens"), "key").select("t", "s", "w", "key", "n", "c", "rest", ahead, F.when(F.col("w") > 1, band).otherwise(0).cast("long").alias("z"))
+            x = scratch.table(x, "ahead").select("t", "s", "w", "z", *[F.col(k).alias(v) for k, v in names.items()])
+            z = F.explode(F.when(F.col("w") > 1, F.array(F.col("z") - 1, F.col("z"), F.col("z") + 1)).otherwise(F.array("z")))
+            y = dealt(x.select("t", "w", z.alias("z"), *[F.col(v).alias(v[:-1] + "b" if v != "a" else "b") for v in names.values()])).drop("w")
+            pairs = x.join(y, ["t", "s", "z"]).where("a < b and ca <> cb").where(_fits(threshold) & _fits_ahead(threshold))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -335,6 +386,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
         labels = scratch.table(components(links, scratch, f"stars{r}"), f"labels{r}")
     group = meta.join(small(labels.withColumnRenamed("v", "key")), "key", "left").withColumn("g", F.coalesce("c", "key")) if labels is not None else meta.withColumn("g", F.col("key"))
     group = scratch.table(group.select("doc_id", "key", "n", "g"), "grouped")
+    scratch.only("grouped")
     least = scratch.table(group.where("n > 0").groupBy("g").agg(F.min("doc_id").alias("least"), F.count("*").alias("m")).where("m > 1").drop("m"), "least")
     out = group.join(small(least), "g", "left")
     own = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("least", "doc_id"))
@@ -359,7 +411,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if again.isEmpty():
         return out
     mark = fresh(docs, "_mark")
-    words = F.array_remove(F.split(F.lower("text"), r"[\x20\x09-\x0D]+", -1), "")
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.array_remove(F.split(low, r"[\x20\x09-\x0D]+", -1), "")
     once = out.join(again, "doc_id", "left_semi").withColumn(mark, F.xxhash64(words)).dropDuplicates(["doc_id", mark]).select(*names)
     return out.join(small(again), "doc_id", "left_anti").select(*names).union(once)
 

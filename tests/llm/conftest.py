@@ -17,6 +17,8 @@ def rows() -> list[tuple]:
         w = texts[k].split()
         w[len(w) // 2 : len(w) // 2 + 1] = ["other"]
         texts.append(" ".join(w) + (" tail" if k % 2 else ""))
+    for k in range(20, 30):  # copies that differ in a word at their end
+        texts.append(texts[k] + " end")
     texts += [texts[3], texts[3], texts[3].upper(), " \n\t ", "", "one", "one two three four", "É é \x00 ünï", words(r, 12_000), "a" * 3000, "ab " * 2000]
     out = [(i, t, r.choice(["en", "fr", None]), r.choice(["s0", "s0", "s1", None])) for i, t in enumerate(texts)]
     out += [(200, None, "en", "s0"), (None, texts[5], "en", "s0"), (None, None, None, None), (7, texts[7], "en", "s0"), (7, texts[7], "en", "s0"), (8, "another text of the same number " * 3, "fr", "s1")]

@@ -337,6 +337,7 @@ def groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH, roun
     """One row a document: doc_id, key (its class), n_shingles, component_id."""
     scratch = scratch or Scratch(docs.sparkSession, "jaccard")
     made = scratch.table(sets(docs, threshold, width, fragments), "sets")
+    scratch.settle()
     meta = made.where("prefix is null").select("doc_id", "key", "n")
     classes = made.where("prefix is not null").select("key", "n", "prefix", "tokens")
     postings = classes.select("key", "n", F.size("tokens").alias("m"), F.posexplode("prefix").alias("i", "t")).select("key", "n", "t", (F.col("m") - F.col("i")).alias("rest"))

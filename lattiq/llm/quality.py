@@ -13,9 +13,9 @@ it to a few numbers a group with map-side combining, so a hot source costs no mo
 Values are held as whole numbers of 1/``GRID``, which makes sums exact and the verdict the same at every partitioning.
 
 Defined results: a null text has no words and fails the base rule; null lang or source form groups of their own;
-repeated rows are judged alike; groups of fewer than ``MIN_GROUP`` rows use the estimate of their language, and if that
+repeated rows are judged alike; a very long text is one row like others; groups of fewer than ``MIN_GROUP`` rows use the estimate of their language, and if that
 is small as well, that of all rows; an empty table gives an empty result. Columns other than
-doc_id, text, lang and source are not read.
+doc_id, text, lang and source are not read, whatever their names are.
 """
 
 from __future__ import annotations
@@ -83,13 +83,13 @@ def vector() -> list[Column]:
     """The transformed statistics, as whole numbers of 1/GRID."""
     words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
     grown = lambda part, of, by: F.log(F.lit(1.0) + by * F.col(part) / of)
-    # mean word length of a short text scatters; it is drawn to the length of a plain word
+    # what is measured on a short text scatters: word length is drawn to that of a plain word, shares are drawn to none
     parts = [
         F.log((F.col("word_chars") + 100) / (words + 20)),
         grown("n_symbols", chars, 20),
-        grown("n_dup_lines", F.greatest("n_lines", F.lit(1)), 5),
-        grown("n_repeat_words", words, 5),
-        grown("n_upper", chars, 5),
+        grown("n_dup_lines", F.col("n_lines") + 2, 5),
+        grown("n_repeat_words", words + 20, 5),
+        grown("n_upper", chars + 100, 5),
     ]
     return [F.round(x * GRID).cast("long").alias(f"x{k}") for k, x in enumerate(parts)]
 
@@ -167,6 +167,7 @@ def estimates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
             break
     all_raws = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(k)) for k, x in enumerate(raws)])
     all_volumes = reduce(DataFrame.unionByName, [x.withColumn("step", F.lit(k)) for k, x in enumerate(volumes)])
+    # ties go to the first start, then to the earlier step
     best = all_volumes.groupBy(F.substring("g", 2, 1 << 30).alias("of")).agg(F.min(F.struct("v", "g", "step")).alias("x"))
     raw = scratch.table(all_raws.join(best.select("of", "x.g", "x.step"), ["g", "step"]).drop("step"), "best")
     half = _quantile(binned(_factor(raw)), ["g"], "b", 0.5, "half")
@@ -216,4 +217,6 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mark = F.xxhash64(text_of(), F.col("lang"), F.col("source"))
     rows = docs.select(F.struct("doc_id", mark.alias("h")).alias("doc_id"), "text", "lang", "source")
     bad = judge(rows, scratch=scratch).where(~F.col("kept")).select(F.col("doc_id.doc_id").alias("_d"), F.col("doc_id.h").alias("_b")).distinct()
-    return without(docs, scratch.table(bad, "bad"), "text", "lang", "source")
+    bad = scratch.table(bad, "bad")
+    scratch.only("bad")
+    return without(docs, bad, "text", "lang", "source")

@@ -517,6 +517,79 @@ def test_outliers_of_one_statistic_go(spark):
     assert got[1001].n_dup_lines == 38 and 0.14 < got[1002].n_symbols / got[1002].word_chars < 0.17
 
 
+def grid_of(text):
+    """The five statistics of a text, as whole numbers of the grid."""
+    w = SPACED.findall(text)
+    seen = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+    again = len(set().union(*(range(k, k + 8) for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] > 1))) if w else 0
+    lines, chars, n = [x for x in text.split("\n") if SPACED.search(x)], max(1, sum(map(len, w))), max(1, len(w))
+    shares = [20 * len(re.findall(r"[#*$%&|<>]", text)) / chars, 5 * (len(lines) - len(set(lines))) / (len(lines) + 2), 5 * again / (n + 20), 5 * len(re.findall("[A-Z]", text)) / (chars + 100)]
+    values = [np.log((sum(map(len, w)) + 100) / (n + 20)), *np.log1p(shares)]
+    return [int(np.floor(v * quality.GRID + 0.5)) for v in values], len(w) < 20 or 100 * again > 30 * len(w)
+
+
+def mcd(x):
+    """Location, covariance and scale of the estimate over grid rows."""
+    def quantile(v, share):
+        v = np.sort(v, kind="stable")
+        return v[int(np.argmax(np.arange(1, len(v) + 1) >= share * len(v) - 1e-12))]
+
+    bins = lambda at, cov: np.floor(np.log2(distances(x, at, cov) + 1e-3) * 64)
+    noise = np.diag(np.square(quality.NOISE))
+    middle = np.array([quantile(c, 0.5) for c in x.T])
+    spread = np.array([quantile(np.abs(c - m), 0.5) for c, m in zip(x.T, middle, strict=True)]) * 1.4826 / quality.GRID
+    moments = lambda rows: (rows.mean(0) / quality.GRID, np.cov(rows.T, bias=True) / quality.GRID**2)
+    found = []
+    for start in ((middle / quality.GRID, np.diag(spread**2)), moments(x)):
+        now, last = start, None
+        for step in range(quality.MOST_STEPS):
+            b = bins(now[0], now[1] + noise)
+            now = moments(x[b <= quantile(b, quality.H)])
+            volume = np.linalg.slogdet(now[1] + noise)[1] / 2
+            found.append((volume, now))
+            if step and not volume < last - 1e-6:
+                break
+            last = volume
+    at, cov = min(found, key=lambda f: f[0])[1]
+    half = quantile(bins(at, cov + noise), 0.5)
+    return at, cov * max(2.0 ** (half / 64) / quality.MEDIAN, quality.CONSISTENT) + np.diag(np.square(quality.FLOOR))
+
+
+def distances(x, at, cov):
+    r = x / quality.GRID - at
+    return np.einsum("ij,ij->i", r, np.linalg.solve(cov, r.T).T)
+
+
+def test_verdicts_against_a_plain_estimate(spark):
+    """Large groups by themselves, small ones by their language or by all rows."""
+    import random
+
+    from .conftest import words
+
+    r = random.Random(14)
+    def text(k):
+        lines = [words(r, r.randint(2, 9)).capitalize() for _ in range(r.randint(3, 30))]
+        lines += [lines[0]] * (k % 7 == 0) + ["$ & |" * r.randint(1, 9)] * (k % 11 == 0) + [lines[1].upper()] * (k % 5)
+        return "\n".join(lines)
+
+    rows = [(k, text(k), r.choice(["en", "en", "fr", None]), r.choice(["s0", "s0", "s1", "s2", None])) for k in range(600)]
+    rows += [(1000 + k, words(r, 60), "rare", "s0") for k in range(3)] + [(2000 + k, "$#% " * 50 + words(r, 50), "en", "s0") for k in range(5)] + [(3000, None, "en", "s0")]
+    got = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    grid = {d: grid_of(t or "") for d, t, _, _ in rows}
+    every, langs, groups = [d for d, *_ in rows], defaultdict(list), defaultdict(list)
+    for d, _, lang, source in rows:
+        langs[lang].append(d)
+        groups[lang, source].append(d)
+    near = 0
+    for d, _, lang, source in rows:
+        mine = next(g for g in (groups[lang, source], langs[lang], every) if len(g) >= quality.MIN_GROUP)
+        near += len(mine) > len(groups[lang, source])
+        far = distances(np.array([grid[d][0]]), *mcd(np.array([grid[k][0] for k in mine])))[0]
+        assert abs(got[d].distance - far) <= 1e-6 * max(1, far), d
+        assert got[d].kept == (not grid[d][1] and far <= quality.CUTOFF)
+    assert near and {x.kept for x in got.values()} == {True, False}
+
+
 # 9
 
 

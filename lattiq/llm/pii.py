@@ -3,15 +3,16 @@
 Generators with high recall propose spans, which may overlap. Those of the fixed kinds (``BASE``) are judged by their
 rules alone. Those of the further kinds (``MORE``) get features of their format and of the words before them; boosted
 trees score them, and a threshold that is calibrated on held-out rows selects. A selected span gives way to a fixed kind
-that it overlaps and to a better one of the further kinds.
+that it overlaps and to a better one of the further kinds that stays.
 
 The trees are fitted on a sample of ``SAMPLE`` labelled candidates, which a seeded generator writes (there are no labels
 for personal data in the tables); the features are those of the main path. Then everything is one expression a row: no
 shuffle, no Python on executors. Only texts with a mark of personal data (an at sign, a digit, a spelt-out address) are
 searched by the expressions.
 
-Defined results: a null text is empty; each row of the input gives one row; an empty table gives an empty result. Columns
-other than doc_id and text are not read. Positions are code points.
+Defined results: a null text is empty; each row of the input gives one row, repeated ones too; a very long text is searched
+whole (the work on its spans grows with their square); spans of equal scores go by place, then kind; an empty table gives
+an empty result. Columns other than doc_id and text are not read, whatever their names are. Positions are code points.
 """
 
 from __future__ import annotations
@@ -185,8 +186,11 @@ def find(docs: DataFrame, *keep: str) -> DataFrame:
     scored = F.transform("_c", lambda x: F.struct(x["a"].alias("a"), x["k"].alias("k"), x["b"].alias("b"), trees.column(lambda f: F.get(x["f"], F.lit(f))).alias("score")))
     df = df.withColumn("_c", F.filter(scored, lambda x: x["score"] >= trees.threshold))
     df = df.withColumn("_c", F.filter("_c", lambda x: ~F.exists("base", lambda y: _overlap(x, y))))
-    better = lambda x, y: _overlap(x, y) & ((y["score"] > x["score"]) | (y["score"] == x["score"]) & (F.struct(y["a"], y["k"]) < F.struct(x["a"], x["k"])))
-    df = df.withColumn("more", F.sort_array(F.filter("_c", lambda x: ~F.exists("_c", lambda y: better(x, y)))))
+    # the best first; one that overlaps a span that stays goes
+    first = F.sort_array(F.transform("_c", lambda x: F.struct((-x["score"]).alias("less"), x["a"].alias("a"), x["k"].alias("k"), x["b"].alias("b"))))
+    none = F.array().cast("array<struct<a:int,k:int,b:int,score:double>>")
+    add = lambda kept, x: F.when(F.exists(kept, lambda y: _overlap(x, y)), kept).otherwise(F.concat(kept, F.array(F.struct(x["a"].alias("a"), x["k"].alias("k"), x["b"].alias("b"), (-x["less"]).alias("score")))))
+    df = df.withColumn("more", F.when(F.size("_c") > 0, F.sort_array(F.aggregate(first, none, add))).otherwise(none))
     return df.select("_keep", "_t", "base", "more")
 
 

@@ -342,6 +342,41 @@ def test_personal_data(spark, docs, none):
     assert pii.redact(docs).columns == docs.columns and pii.redact(docs).count() == docs.count() and pii.scan(none).count() == 0
 
 
+def described(kind, match, before):
+    """A candidate's features, by plain expressions."""
+    digits = re.sub("[^0-9]", "", match)
+    words = [float(bool(re.search(p, before, re.A))) for p in pii.WORDS.values()]
+    return [pii.KINDS.index(kind), len(digits), len(match), len(re.findall(r"[\x20.()-]", match)), match.count("."), "(" in match, len(set(digits)), int(digits[:1] or -1), *words, bool(re.search(r"[A-Za-z0-9]$", before))]
+
+
+def test_further_spans_against_a_plain_search(spark):
+    """Spans of the further kinds: every generator's candidates, scored one by one, the best first."""
+    trees, r = pii.model(spark), np.random.default_rng(6)
+    texts = [" ".join(f"{b}{m}" for _, m, b, _ in pii.sample(12, seed=k)) for k in range(40)]
+    texts += [t.replace("  ", " ") + " x@y.org 10.0.0.1 and DE12 1234 5678 9012 3456 78 555-123-4567-89 (at) foo (dot) com" for t in texts[:10]] + ["", None, "tel 555 123 4567" * 50, PERSONAL[5] * 30]
+    r.shuffle(texts)
+    df = spark.createDataFrame([(k, t, "m", 1) for k, t in enumerate(texts)], "doc_id long, text string, more string, base int")
+    got = {x.doc_id: x.spans for x in pii.scan(df).collect()}
+    chosen = 0
+    for k, t in enumerate(texts):
+        t = t or ""
+        found = [tuple(x.split(":")) for x in got[k].split(",") if x]
+        base = [(int(a), int(b)) for kind, a, b in found if kind in pii.BASE]
+        put = []
+        for kind, p in pii.MORE.items():
+            for m in re.finditer(p, t):
+                score = float(trees.margins(np.array([described(kind, m[0], t[max(0, m.start() - pii.BEFORE) : m.start()])], float))[0])
+                if score >= trees.threshold and not any(a < m.end() and m.start() < b for a, b in base):
+                    put.append((-score, m.start(), pii.KINDS.index(kind), m.end()))
+        want = []
+        for _, a, n, b in sorted((round(x[0], 9), *x[1:]) for x in put):
+            if not any(a < y[2] and y[0] < b for y in want):
+                want.append((a, n, b))
+        assert sorted((int(a), pii.KINDS.index(kind), int(b)) for kind, a, b in found if kind not in pii.BASE) == sorted(want), t
+        chosen += len(want)
+    assert chosen > 50
+
+
 def test_spelt_addresses_are_proposed_whole(spark):
     long = f"{'j' * 70} at {'e' * 60} dot international"
     cases = {

@@ -66,6 +66,11 @@ class Model:
             raise QueryError(f"{self.name} has no relation {name}", path)
         return self.relations[name]
 
+    @property
+    def unique_keys(self) -> list[tuple[str, ...]]:
+        """The primary key and the fields that are unique by themselves."""
+        return [*([self.key] if self.key else []), *((f.name,) for f in self.fields.values() if f.unique or f.is_id and not self.primary_key)]
+
     @property
     def key(self) -> tuple[str, ...]:
         """The primary key: the declared one, id fields, or a field named id; empty if there is none."""
@@ -142,7 +147,7 @@ def sales_catalog() -> Catalog:
     c.add("supplier", [_f("key", "BigInt", db="s_suppkey", is_id=True), _f("name", db="s_name"), _f("nationKey", "Int", db="s_nationkey"), _f("balance", "Float", db="s_acctbal")], [_one("nation", "nation", "nationKey", "key"), _many("lines", "lineitem", "key", "supplierKey")])
     c.add("part", [_f("key", "BigInt", db="p_partkey", is_id=True), _f("name", db="p_name"), _f("brand", db="p_brand"), _f("type", db="p_type"), _f("size", "Int", db="p_size"), _f("price", "Float", db="p_retailprice")], [_many("lines", "lineitem", "key", "partKey")])
     c.add("orders", [_f("key", "BigInt", db="o_orderkey", is_id=True), _f("customerKey", "BigInt", db="o_custkey"), _f("status", "OrderStatus", db="o_orderstatus"), _f("total", "Float", db="o_totalprice"), _f("date", "DateTime", db="o_orderdate"), _f("priority", db="o_orderpriority", required=False)], [_one("customer", "customer", "customerKey", "key"), _many("lines", "lineitem", "key", "orderKey")])
-    c.add("lineitem", [_f("orderKey", "BigInt", db="l_orderkey"), _f("partKey", "BigInt", db="l_partkey"), _f("supplierKey", "BigInt", db="l_suppkey"), _f("number", "Int", db="l_linenumber"), _f("quantity", "Float", db="l_quantity"), _f("price", "Float", db="l_extendedprice"), _f("discount", "Float", db="l_discount"), _f("tax", "Float", db="l_tax"), _f("returnFlag", db="l_returnflag", required=False), _f("lineStatus", db="l_linestatus"), _f("shipDate", "DateTime", db="l_shipdate")], [_one("order", "orders", "orderKey", "key"), _one("part", "part", "partKey", "key"), _one("supplier", "supplier", "supplierKey", "key")])
+    c.add("lineitem", [_f("orderKey", "BigInt", db="l_orderkey"), _f("partKey", "BigInt", db="l_partkey"), _f("supplierKey", "BigInt", db="l_suppkey"), _f("number", "Int", db="l_linenumber"), _f("quantity", "Float", db="l_quantity"), _f("price", "Float", db="l_extendedprice"), _f("discount", "Float", db="l_discount"), _f("tax", "Float", db="l_tax"), _f("returnFlag", db="l_returnflag", required=False), _f("lineStatus", db="l_linestatus"), _f("shipDate", "DateTime", db="l_shipdate")], [_one("order", "orders", "orderKey", "key"), _one("part", "part", "partKey", "key"), _one("supplier", "supplier", "supplierKey", "key"), Relation("alike", "lineitem", ("orderKey", "supplierKey"), ("orderKey", "supplierKey"), many=True)])
     c.add("events", [_f("id", "BigInt", db="event_id", is_id=True), _f("ts", "DateTime"), _f("userId", "BigInt", db="user_id"), _f("type", db="event_type"), _f("value", "Float"), _f("props", "Json")], [_one("customer", "customer", "userId", "key")])
     c.add("documents", [_f("id", "BigInt", db="doc_id", is_id=True), _f("text"), _f("lang"), _f("source"), _f("chars", "BigInt", db="n_chars")], [Relation("label", "labels", ("id",), ("id",), many=False)])
     c.add("labels", [_f("id", "BigInt", db="doc_id", is_id=True), _f("quality", "Int"), _f("toxic", "Int")], [_one("document", "documents", "id", "id")])

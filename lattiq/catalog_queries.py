@@ -159,20 +159,15 @@ add("p02_select", "SELECT p_partkey AS key, p_brand AS brand FROM part", lambda
 many("o01_order", "part", {"orderBy": [{"size": "desc"}, {"brand": "asc", "key": "desc"}], "take": 50, "select": {"key": True}}, positioned("p_partkey AS key", "FROM part", "p_size DESC, p_brand, p_partkey DESC LIMIT 50"), placed=True)
 for nulls in ("first", "last"):
     for d in ("asc", "desc"):
-        many(f"o02_nulls_{d}_{nulls}", "orders", {"orderBy": [{"priority": {"sort": d, "nulls": nulls}}, {"key": "asc"}], "take": 4000, "skip": 10, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", f"o_orderpriority {d} NULLS {nulls}, o_orderkey LIMIT 4000 OFFSET 10"), nulls=True, placed=True)
-        many(f"o02_nulls_{d}_{nulls}_whole", "orders", {"orderBy": [{"priority": {"sort": d, "nulls": nulls}}, {"key": "asc"}], "skip": 10, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", f"o_orderpriority {d} NULLS {nulls}, o_orderkey OFFSET 10"), nulls=True, placed=True)
-many("o03_default_nulls", "orders", {"orderBy": [{"priority": "desc"}, {"key": "asc"}], "take": 400, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", "o_orderpriority DESC NULLS FIRST, o_orderkey LIMIT 400"), nulls=True, placed=True)
-many("o03_default_nulls_whole", "orders", {"orderBy": [{"priority": "desc"}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", "o_orderpriority DESC NULLS FIRST, o_orderkey"), nulls=True, placed=True)
-many("o03_enum_order", "orders", {"orderBy": [{"status": "asc"}, {"key": "asc"}], "take": 9000, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders", "list_position(['O', 'P', 'F'], o_orderstatus), o_orderkey LIMIT 9000"), placed=True)
-many("o03_enum_order_whole", "orders", {"orderBy": [{"status": "asc"}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders", "list_position(['O', 'P', 'F'], o_orderstatus), o_orderkey"), placed=True)
-many("o04_relation_order", "orders", {"orderBy": [{"customer": {"nation": {"name": "desc"}}}, {"customer": {"balance": "asc"}}, {"key": "asc"}], "take": 60, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey", "n_name DESC, c_acctbal, o_orderkey LIMIT 60"), placed=True)
-many("o04_relation_order_whole", "orders", {"orderBy": [{"customer": {"nation": {"name": "desc"}}}, {"customer": {"balance": "asc"}}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey", "n_name DESC, c_acctbal, o_orderkey"), placed=True)
+        many(f"o02_nulls_{d}_{nulls}", "orders", {"orderBy": [{"priority": {"sort": d, "nulls": nulls}}, {"key": "asc"}], "skip": 10, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", f"o_orderpriority {d} NULLS {nulls}, o_orderkey OFFSET 10"), nulls=True, placed=True)
+many("o03_default_nulls", "orders", {"orderBy": [{"priority": "desc"}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM ord", "o_orderpriority DESC NULLS FIRST, o_orderkey"), nulls=True, placed=True)
+many("o03_enum_order", "orders", {"orderBy": [{"status": "asc"}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders", "list_position(['O', 'P', 'F'], o_orderstatus), o_orderkey"), placed=True)
+many("o04_relation_order", "orders", {"orderBy": [{"customer": {"nation": {"name": "desc"}}}, {"customer": {"balance": "asc"}}, {"key": "asc"}], "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey", "n_name DESC, c_acctbal, o_orderkey"), placed=True)
 many("o05_take_zero", "orders", {"take": 0, "select": {"key": True}}, "SELECT o_orderkey AS key FROM orders LIMIT 0")
 many("o06_skip", "orders", {"orderBy": {"key": "asc"}, "skip": 14000, "select": {"key": True}}, "SELECT o_orderkey AS key FROM orders ORDER BY o_orderkey OFFSET 14000")
 many("o07_negative_take", "orders", {"orderBy": [{"priority": "asc"}, {"key": "asc"}], "take": -20, "skip": 3, "select": {"key": True}}, "SELECT key, row_number() OVER (ORDER BY p ASC NULLS LAST, key) AS position FROM (SELECT o_orderkey AS key, o_orderpriority AS p FROM ord ORDER BY p DESC NULLS FIRST, key DESC LIMIT 20 OFFSET 3)", nulls=True, placed=True)
 many("d01_distinct_leading", "orders", {"distinct": ["customerKey"], "orderBy": {"total": "desc"}, "select": {"key": True, "customerKey": True}}, "SELECT DISTINCT ON (o_custkey) o_orderkey AS key, o_custkey AS customerKey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
-many("d02_distinct_own_order", "orders", {"distinct": ["customerKey"], "orderBy": [{"total": "desc"}, {"key": "asc"}], "take": 40, "select": {"key": True}}, positioned("key", "FROM (SELECT DISTINCT ON (o_custkey) o_orderkey AS key, o_totalprice AS t FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey)", "t DESC, key LIMIT 40"), placed=True, options=Options(dialect="sqlite"))
-many("d02_distinct_own_order_whole", "orders", {"distinct": ["customerKey"], "orderBy": [{"total": "desc"}, {"key": "asc"}], "select": {"key": True}}, positioned("key", "FROM (SELECT DISTINCT ON (o_custkey) o_orderkey AS key, o_totalprice AS t FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey)", "t DESC, key"), placed=True, options=Options(dialect="sqlite"))
+many("d02_distinct_own_order", "orders", {"distinct": ["customerKey"], "orderBy": [{"total": "desc"}, {"key": "asc"}], "select": {"key": True}}, positioned("key", "FROM (SELECT DISTINCT ON (o_custkey) o_orderkey AS key, o_totalprice AS t FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey)", "t DESC, key"), placed=True, options=Options(dialect="sqlite"))
 many("c01_cursor", "orders", {"cursor": {"key": 700}, "take": 30, "skip": 1, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders WHERE o_orderkey >= 700", "o_orderkey LIMIT 30 OFFSET 1"), placed=True)
 many("c02_cursor_ordered", "orders", {"cursor": {"key": 700}, "orderBy": {"key": "desc"}, "take": 30, "select": {"key": True}}, positioned("o_orderkey AS key", "FROM orders WHERE o_orderkey <= 700", "o_orderkey DESC LIMIT 30"), placed=True)
 many("c03_cursor_compound", "conversations", {"cursor": {"conv_turn": {"conv": 5, "turn": 1}}, "orderBy": [{"conv": "asc"}, {"turn": "asc"}], "take": 25, "select": {"conv": True, "turn": True}}, positioned("conv_id AS conv, turn", "FROM conversations WHERE (conv_id, turn) >= (5, 1)", "conv_id, turn LIMIT 25"), placed=True)
@@ -222,13 +217,24 @@ add(
     .select("key", "name", "region", F.size("o").cast("long").alias("orders"), F.aggregate("o", F.lit(0).cast("long"), lambda a, x: a + x["_count"]["lines"]).alias("lines")),
 )
 add(
-    "i07_nested_to_one", "SELECT o_orderkey AS key, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey ORDER BY o_orderkey LIMIT 500",
-    lambda e: e.orders.find_many({"select": {"key": True, "customer": {"select": {"name": True, "nation": {"include": {"region": True}}}}}, "orderBy": {"key": "asc"}, "take": 500}).select("key", F.col("customer.name").alias("customer"), F.col("customer.nation.name").alias("nation"), F.col("customer.nation.region.name").alias("region")),
+    "i07_nested_to_one", "SELECT o_orderkey AS key, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey ORDER BY o_orderkey",
+    lambda e: e.orders.find_many({"select": {"key": True, "customer": {"select": {"name": True, "nation": {"include": {"region": True}}}}}, "orderBy": {"key": "asc"}}).select("key", F.col("customer.name").alias("customer"), F.col("customer.nation.name").alias("nation"), F.col("customer.nation.region.name").alias("region")),
 )
+# keys of two columns
+LINE = "SELECT l_orderkey AS orderKey, l_linenumber AS number, l_partkey AS partKey FROM lineitem a WHERE "
+SAME = "(SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_suppkey = a.l_suppkey"
+PICK = {"orderKey": True, "number": True, "partKey": True}
+many("j13_composite_some", "lineitem", {"where": {"alike": {"some": {"returnFlag": "R", "quantity": {"gt": 40}}}}, "select": PICK}, f"{LINE}EXISTS {SAME} AND l_returnflag = 'R' AND l_quantity > 40)")
+many("j13_composite_none", "lineitem", {"where": {"alike": {"none": {"number": {"gt": 1}}}}, "select": PICK}, f"{LINE}NOT EXISTS {SAME} AND l_linenumber > 1)")
+many("j13_composite_under_or", "lineitem", {"where": {"OR": [{"alike": {"every": {"lineStatus": "F"}}}, {"quantity": {"lt": 3}}]}, "select": PICK}, f"{LINE}NOT EXISTS {SAME} AND l_linestatus <> 'F') OR l_quantity < 3")
 add(
-    "i07_nested_to_one_whole", "SELECT o_orderkey AS key, c_name AS customer, n_name AS nation, r_name AS region FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey ORDER BY o_orderkey",
-    lambda e: e.orders.find_many({"select": {"key": True, "customer": {"select": {"name": True, "nation": {"include": {"region": True}}}}}, "orderBy": {"key": "asc"}}).select("key", F.col("customer.name").alias("customer"), F.col("customer.nation.name").alias("nation"), F.col("customer.nation.region.name").alias("region")),
+    "j13_composite_include", "SELECT a.l_orderkey AS orderKey, a.l_suppkey AS supplierKey, a.l_linenumber AS number, a.l_partkey AS partKey, count(b.l_orderkey) AS n, max(b.l_quantity) AS most FROM (SELECT * FROM lineitem WHERE l_quantity > 45) a LEFT JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_suppkey = a.l_suppkey GROUP BY ALL",
+    lambda e: e.lineitem.find_many({"where": {"quantity": {"gt": 45}}, "select": {"orderKey": True, "supplierKey": True, "number": True, "partKey": True, "alike": {"select": {"quantity": True}}}})
+    .select("orderKey", "supplierKey", "number", "partKey", F.size("alike").cast("long").alias("n"), F.array_max("alike.quantity").alias("most")).groupBy("orderKey", "supplierKey", "number", "partKey").agg((F.sum("n")).alias("n"), F.max("most").alias("most")),
 )
+many("c07_cursor_compound_down", "conversations", {"cursor": {"conv_turn": {"conv": 5, "turn": 1}}, "orderBy": [{"conv": "desc"}, {"turn": "asc"}], "take": 25, "select": {"conv": True, "turn": True}}, positioned("conv_id AS conv, turn", "FROM conversations WHERE conv_id < 5 OR conv_id = 5 AND turn >= 1", "conv_id DESC, turn LIMIT 25"), placed=True)
+many("c08_cursor_distinct", "orders", {"cursor": {"customerKey": 20}, "distinct": ["customerKey"], "orderBy": [{"customerKey": "asc"}, {"key": "asc"}], "take": 30, "select": {"customerKey": True, "key": True}}, positioned("customerKey, key", "FROM (SELECT o_custkey AS customerKey, min(o_orderkey) AS key FROM orders WHERE o_custkey >= 20 GROUP BY 1)", "customerKey LIMIT 30"), placed=True)
+add("m04_count_select", "SELECT count(*) AS all_rows, count(o_orderpriority) AS priority FROM ord", lambda e: e.orders.count({"select": {"_all": True, "priority": True}}).select(F.col("_count._all").alias("all_rows"), F.col("_count.priority").alias("priority")), nulls=True)
 add("x09_attach", "SELECT s_suppkey AS key, count(l_suppkey) AS lines FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 45 WHERE s_acctbal > 5000 GROUP BY 1", lambda e: e.attach_includes(e.supplier.find_many({"where": {"balance": {"gt": 5000}}, "select": {"key": True}}), "supplier", {"lines": {"where": {"quantity": {"gt": 45}}}}).select("key", F.size("lines").cast("long").alias("lines")))
 
 # several at once, streams, prepared
@@ -244,8 +250,7 @@ add(
 )
 add("m09_batch_count", "SELECT unnest([(SELECT count(*) FROM part WHERE p_size > 25), (SELECT count(*) FROM nation)]) AS n", lambda e: e.spark.createDataFrame([(n,) for n in batch.batch_count(e, [{"model": "part", "method": "count", "args": {"where": {"size": {"gt": 25}}}}, {"model": "nation"}])], "n long"))
 add("m11_transaction", "SELECT (SELECT count(*) FROM region) AS regions, (SELECT max(n_nationkey) FROM nation) AS last", lambda e: e.spark.createDataFrame([(lambda r: (r[0][0]._count._all, r[1][0]._max.key))(batch.transaction(e, [{"model": "region", "method": "count"}, {"model": "nation", "method": "aggregate", "args": {"_max": {"key": True}}}], isolation="Serializable", timeout=600))], "regions long, last int"))
-add("m13_stream", "SELECT s_suppkey AS key FROM supplier WHERE s_acctbal < 0 ORDER BY s_suppkey LIMIT 50", lambda e: e.spark.createDataFrame([(r.key,) for r in rows.iterate(e, "supplier", {"where": {"balance": {"lt": 0}}, "orderBy": {"key": "asc"}, "take": 50})], "key long"))
-add("m13_stream_whole", "SELECT s_suppkey AS key FROM supplier WHERE s_acctbal < 0 ORDER BY s_suppkey", lambda e: e.spark.createDataFrame([(r.key,) for r in rows.iterate(e, "supplier", {"where": {"balance": {"lt": 0}}, "orderBy": {"key": "asc"}})], "key long"))
+add("m13_stream", "SELECT s_suppkey AS key FROM supplier WHERE s_acctbal < 0 ORDER BY s_suppkey", lambda e: e.spark.createDataFrame([(r.key,) for r in rows.iterate(e, "supplier", {"where": {"balance": {"lt": 0}}, "orderBy": {"key": "asc"}})], "key long"))
 add("m14_fold", "SELECT count(*) AS customers, count(o_orderkey) AS orders FROM (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') LEFT JOIN (SELECT o_custkey, count(*) AS o_orderkey FROM orders GROUP BY 1) ON o_custkey = c_custkey", lambda e: e.spark.createDataFrame([rows.fold(e, "customer", {"where": {"segment": "BUILDING"}, "select": {"key": True, "_count": {"select": {"orders": True}}}}, (0, 0), lambda s, r: (s[0] + 1, s[1] + (r._count.orders > 0)))], "customers long, orders long"))
 add("m16_prepared", positioned("o_orderkey AS key", "FROM orders WHERE o_totalprice > 150000", "o_orderkey LIMIT 12 OFFSET 4"), lambda e: prepared.Registry(e).prepare("big", "orders", "findMany", {"where": {"total": {"gt": prepared.Param("least")}}, "orderBy": {"key": "asc"}, "take": prepared.Param("n"), "skip": prepared.Param("from"), "select": {"key": True}})(least=150000, n=12, **{"from": 4}).coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1))
 add("s04_sql", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1", lambda e: e.sql("SELECT segment, count(*) AS n FROM {customers} WHERE balance > :least GROUP BY 1".replace("{customers}", _view(e, "customer")), least=0))

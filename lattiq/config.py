@@ -51,5 +51,3 @@ class Options:
     dialect: str = "postgres"
     #: Treat % and _ in contains, startsWith and endsWith as themselves.
     escape_like: bool = False
-    #: Rows of a limited page up to which its keys are broadcast to restrict its children.
-    page_rows: int = 100_000

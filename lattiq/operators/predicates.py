@@ -7,6 +7,7 @@ predicates follow SQL's three-valued logic; relation predicates are true or fals
 
 from __future__ import annotations
 
+from decimal import Decimal
 import itertools
 from functools import reduce
 
@@ -305,7 +306,7 @@ class Predicates:
             if v is None:
                 out.append(got.isNull())
                 continue
-            number = isinstance(v, (int, float)) and not isinstance(v, bool)
+            number = isinstance(v, (int, float, Decimal)) and not isinstance(v, bool)
             side = got.try_cast("double") if number else got
             lit = F.lit(float(v)) if number else F.lit(str(v).lower() if isinstance(v, bool) else str(v))
             out.append(side == lit if op == "equals" else getattr(side, COMPARE[op])(lit))

@@ -24,15 +24,17 @@ def batch(engine: Engine, queries: dict[str, tuple[str, str, dict]]) -> dict[str
 def batch_row(engine: Engine, queries: dict[str, tuple[str, str, dict]]) -> DataFrame:
     """One row with a column to each query: an array of rows for findMany and groupBy, else one row or null.
 
-    Meant for small results: each becomes one value. Order is that of the query.
+    Order is that of the query: rows are collected with their places in it and sorted by these. Each result becomes one
+    value, so it has to be small: queries of many rows take ``take``, or ``batch``, which gives frames.
     """
     if not queries:
         raise QueryError("an empty batch")
     parts = []
     for name, (model, method, args) in queries.items():
         df = engine.query(model, method, args)
-        row = F.struct(*[col(c) for c in df.columns])
-        packed = df.agg(F.collect_list(row).alias(name))
+        row = F.struct(F.monotonically_increasing_id().alias("at"), F.struct(*[col(c) for c in df.columns]).alias("row"))
+        rows = F.transform(F.array_sort(F.collect_list("__row"), lambda a, b: F.signum(a["at"] - b["at"]).cast("int")), lambda x: x["row"])
+        packed = df.select(row.alias("__row")).agg(rows.alias(name))
         parts.append(packed if method in ("findMany", "groupBy") else packed.select(F.get(name, F.lit(0)).alias(name)))
     return reduce(lambda a, b: a.crossJoin(b), parts)  # of single rows
 

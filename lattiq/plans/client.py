@@ -78,6 +78,10 @@ class Engine:
             if first:
                 raise QueryError("findFirst takes no negative take", ("take",))
         names = paging.distinct_fields(model, args["distinct"]) if args.get("distinct") is not None else []
+        if names and cursor is not None and self.options.dialect == "sqlite":
+            raise UnsupportedQuery("the sqlite dialect has no cursor with distinct", ("cursor",))
+        if cursor is not None and len(cursor) > 1 and order and [k.column for k in order[: len(cursor)]] != list(cursor):
+            raise QueryError(f"an order begins with a compound cursor's fields: {', '.join(cursor)}", ("orderBy",))
         if names and cursor is not None and not set(cursor) <= set(names):
             raise QueryError("with distinct, a cursor's fields are among its fields", ("cursor",))
         if cursor is not None:
@@ -126,7 +130,16 @@ class Engine:
         where = args.get("where")
         if not isinstance(where, dict) or not where:
             raise QueryError("findUnique needs a filter by a unique key", ("where",))
-        where = paging.flat_cursor(model, where, ("where",)) if all(not isinstance(v, dict) or k not in model.fields for k, v in where.items()) else where
+        # a compound key may be one object; other conditions may stand beside a whole key
+        flat: dict = {}
+        for name, value in where.items():
+            flat |= value if isinstance(value, dict) and name not in model.fields and name not in model.relations and "_".join(value) == name else {name: value}
+        value_of = lambda v: v["equals"] if isinstance(v, dict) and set(v) == {"equals"} else v
+        given = {n for n, v in flat.items() if n in model.fields and value_of(v) is not None and not isinstance(value_of(v), (dict, list, tuple))}
+        if not any(set(k) <= given for k in model.unique_keys):
+            told = " or ".join(" and ".join(k) for k in model.unique_keys)
+            raise QueryError(f"findUnique needs the value of {told}" if told else f"{model.name} has no unique key", ("where",))
+        where = flat
         df = self.predicates.filter(scan(self.tables, model), model, where)
         return self._shaped(df.limit(1), model, args, [], True)
 
@@ -139,7 +152,15 @@ class Engine:
         else:
             df, order, _ = self._rows(model, args)
             df = paging.page(df, order, take, paging.skip_of(args))
-        return df.agg(F.count(F.lit(1)).alias("__n")).select(F.struct(F.col("__n").alias("_all")).alias("_count"))
+        chosen = args.get("select") or {"_all": True}
+        names = [n for n, v in chosen.items() if v] if isinstance(chosen, dict) else ["_all"]
+        if not names:
+            raise QueryError("a count selects _all or fields", ("select",))
+        for n in names:
+            if n != "_all":
+                model.scalar(n, ("select", n))
+        counts = df.agg(*[F.count(F.lit(1) if n == "_all" else col(n)).alias(f"__n{k}") for k, n in enumerate(names)])
+        return counts.select(F.struct(*[F.col(f"__n{k}").alias(n) for k, n in enumerate(names)]).alias("_count"))
 
     def _aggregate(self, model, args: dict) -> DataFrame:
         return aggregates.aggregate(self.predicates.filter(scan(self.tables, model), model, args.get("where")), model, args)
@@ -160,6 +181,23 @@ class Engine:
         return Includes(self.predicates).shaped(df, m, shape, (), keys=df)
 
 
+class Compiled:
+    """A query that is bound to its tables and not run: its frame, and the text of its plan."""
+
+    def __init__(self, frame: DataFrame):
+        self.frame = frame
+
+    @property
+    def plan(self) -> str:
+        return self.frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def compiler(spark: SparkSession, tables, catalog: Catalog | None = None, options: Options | None = None) -> Callable[[str, str, dict | None], Compiled]:
+    """A function of model, method and arguments that compiles without running anything."""
+    engine = Engine(spark, tables, catalog, options)
+    return lambda model, method, args=None: Compiled(engine.query(model, method, args))
+
+
 class ModelQueries:
     def __init__(self, engine: Engine, name: str):
         self.engine, self.name = engine, name

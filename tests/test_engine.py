@@ -233,7 +233,42 @@ def test_prepared_streams_and_statistics(db, tmp_path):
     assert rows.tree_fold(db.task.find_many(), 0, lambda s, r: s + r.id, lambda a, b: a + b) == 15
     fan = stats.fan_out(db, "user", "tasks").first()
     assert (fan.parents, fan.average, fan.maximum, fan.coverage) == (2, 2.0, 2, 0.5)
-    assert stats.load(str(tmp_path / "s.json")) == stats.collect(db, str(tmp_path / "s.json")) if (tmp_path / "s.json").exists() else stats.collect(db)["user"]["tasks"]["maximum"] == 2
+    made = stats.collect(db, str(tmp_path / "s.json"))
+    assert made["user"]["tasks"]["maximum"] == 2 and stats.load(str(tmp_path / "s.json")) == made
+
+
+def test_unique_keys(db):
+    assert ids(db.task.find_unique({"where": {"id": {"equals": 4}}})) == [4]
+    assert db.taskLabel.find_unique({"where": {"taskId_labelId": {"taskId": 1, "labelId": 2}}}).count() == 1
+    for model, where in (("task", {"status": "OPEN"}), ("task", {"id": {"gt": 1}}), ("task", {"id": {"in": [1, 2]}}), ("task", {"OR": [{"id": 1}]}), ("taskLabel", {"taskId": 1})):
+        with pytest.raises(QueryError):
+            db.query(model, "findUnique", {"where": where})
+
+
+def test_cursor_rules(spark, tables, db):
+    from lattiq import Options
+
+    with pytest.raises(QueryError):
+        db.taskLabel.find_many({"cursor": {"taskId_labelId": {"taskId": 1, "labelId": 2}}, "orderBy": [{"labelId": "asc"}, {"taskId": "asc"}]})
+    with pytest.raises(UnsupportedQuery):
+        Engine(spark, tables, db.catalog, Options(dialect="sqlite")).task.find_many({"cursor": {"status": "OPEN"}, "distinct": ["status"], "orderBy": {"status": "asc"}})
+
+
+def test_batches_keep_order_and_counts_select(db):
+    row = batch.batch_row(db, {"down": ("task", "findMany", {"orderBy": {"id": "desc"}}), "one": ("task", "findFirst", {"orderBy": {"id": "asc"}}), "none": ("task", "findFirst", {"where": {"id": 99}})}).first()
+    assert [r.id for r in row.down] == [5, 4, 3, 2, 1] and row.one.id == 1 and row.none is None
+    every = db.task.find_many().collect()
+    got = db.task.count({"select": {"_all": True, "assigneeId": True}}).first()._count
+    assert (got._all, got.assigneeId) == (len(every), sum(r.assigneeId is not None for r in every))
+    with pytest.raises(QueryError):
+        db.task.count({"select": {"nothing": True}})
+
+
+def test_compiled_queries(spark, tables, db):
+    from lattiq import compiler
+
+    made = compiler(spark, tables, db.catalog)("task", "findMany", {"where": {"id": 4}})
+    assert "Filter" in made.plan and ids(made.frame) == [4]
 
 
 def test_hook_and_sql(spark, tables):

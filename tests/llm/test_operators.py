@@ -284,6 +284,15 @@ def test_secrets(spark, docs, none):
     assert secret_scan.scan(none).count() == 0
 
 
+@pytest.mark.parametrize("scan", [license_scan.scan, secret_scan.scan, pii.scan, lambda d: quality.judge(d).drop("distance"), lambda d: suffix_dedup.strip(d).drop("kept")])
+def test_columns_of_the_same_names_change_nothing(docs, scan):
+    """Tables with further columns, named like an operator's own."""
+    own = docs.select("doc_id", "text", "lang", "source").where("doc_id < 40 or doc_id is null or doc_id > 150")
+    names = ["spans", "_t", "_any", "_keep", "more", "labels", "score", "n_words", "kept", "distance", "_w", "_g", "g", "x0", "d", "h", "k", "v", "part", "n_bytes"]
+    clash = own.select(*[F.lit(k).alias(n) for k, n in enumerate(names)], *own.columns)
+    same([tuple(r) for r in scan(clash).collect()], [tuple(r) for r in scan(own).collect()])
+
+
 def test_redaction_keeps_columns_and_rows(docs, none):
     marked = docs.withColumn("text", F.concat(F.col("text"), F.lit(" token=abcdefghijklmnop")))
     out = secret_scan.redact(marked)

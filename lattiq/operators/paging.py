@@ -13,6 +13,7 @@ from ..config import limits
 from ..errors import QueryError
 from ..functions.values import count_of, literal
 from .ordering import Key, with_tiebreak
+from .places import placed
 from .predicates import col
 
 
@@ -90,15 +91,33 @@ def from_cursor(df: DataFrame, model: Model, catalog: Catalog, cursor: dict, ord
     return rest.drop(*[f"__cursor{i}" for i in range(len(order))]), order
 
 
-def page(df: DataFrame, order: list[Key], take: int | None, skip: int) -> DataFrame:
-    """Sort, offset and limit; a negative take counts from the end and gives rows in the order asked for."""
-    if take is not None and take < 0:
-        back = [k.reversed() for k in order]
-        df = df.orderBy(*[k.sort() for k in back])
-        df = (df.offset(skip) if skip else df).limit(-take)
-        return df.orderBy(*[k.sort() for k in order])
-    if order:
-        df = df.orderBy(*[k.sort() for k in order])
-    if skip:
-        df = df.offset(skip)
-    return df if take is None else df.limit(take)
+#: A page that ends within so many rows of its order is found by a bounded heap a task, a longer one by rows' places.
+HELD = 10_000
+
+
+def page(df: DataFrame, order: list[Key], take: int | None, skip: int, apart: tuple[str, ...] = (), unique: bool = True, place: str | None = None) -> DataFrame:
+    """Sort, offset and limit; a negative take counts from the end and gives rows in the order asked for.
+
+    ``apart``: fields that tell rows apart, fully if ``unique``; without them rows are sorted and counted off by one task.
+    ``place``: a column for the rows' places in the page.
+    """
+    back = take is not None and take < 0
+    keys = [k.reversed() for k in order] if back else order
+    bounded = take is not None and (skip + abs(take) <= HELD or not keys and not skip)
+    if not apart or bounded or not skip and take is None and place is None:
+        if keys:
+            df = df.orderBy(*[k.sort() for k in keys])
+        if skip:
+            df = df.offset(skip)
+        df = df if take is None else df.limit(abs(take))
+        if back:
+            df = df.orderBy(*[k.sort() for k in order])
+        return df.coalesce(1).withColumn(place, F.monotonically_increasing_id() + 1) if place else df
+    keys = keys + [Key(n) for n in apart if n not in {k.column for k in keys}]
+    df = placed(df, keys, "__place", unique)
+    df = df.where(F.col("__place") > skip) if skip else df
+    df = df if take is None else df.where(F.col("__place") <= skip + abs(take))
+    if place and not back:
+        return df.withColumn(place, F.col("__place") - skip).drop("__place")
+    df = df.drop("__place").orderBy(*[k.sort() for k in (order if back else keys)])
+    return df.coalesce(1).withColumn(place, F.monotonically_increasing_id() + 1) if place else df  # a negative take is small

@@ -96,15 +96,15 @@ class Engine:
             df = paging.distinct(df, model, names, order)
         return df, order, take is not None or bool(skip)
 
-    def _shaped(self, df: DataFrame, model, args: dict, order: list[Key], limited: bool) -> DataFrame:
+    def _shaped(self, df: DataFrame, model, args: dict, order: list[Key], limited: bool, place: list[str] = ()) -> DataFrame:
         shape = Shape(model, args, ())
         if not shape.relations and not shape.counts:
-            return df.select(*[col(f) for f in shape.fields])
+            return df.select(*[col(f) for f in shape.fields], *place)
         keep = list(dict.fromkeys(k.column for k in order))
         names = [f"__sort{i}" for i in range(len(keep))]
         df = df.withColumns({n: col(k) for n, k in zip(names, keep, strict=True)})
         # children are restricted to a limited page of parents
-        out = Includes(self.predicates).shaped(df, model, shape, (), keys=df if limited else None, keep=names)
+        out = Includes(self.predicates).shaped(df, model, shape, (), keys=df if limited else None, keep=[*names, *place])
         moved = dict(zip(keep, names, strict=True))
         if order:  # joins lose the order
             out = out.orderBy(*[Key(moved[k.column], k.down, k.nulls_first, k.values).sort() for k in order])
@@ -118,13 +118,25 @@ class Engine:
     def _findMany(self, model, args: dict) -> DataFrame:
         df, order, limited = self._rows(model, args)
         order = self._settled(model, args, order, limited)
-        return self._shaped(paging.page(df, order, paging.take_of(args), paging.skip_of(args)), model, args, order, limited)
+        return self._shaped(paging.page(df, order, paging.take_of(args), paging.skip_of(args), model.tiebreak, bool(model.key)), model, args, order, limited)
+
+    def numbered(self, model: str, args: dict, place: str = "position") -> DataFrame:
+        """findMany's rows with their places, from 1 on, in the column ``place``."""
+        m, args = self.catalog.model(model), plain(args)
+        wrong = set(args) - ARGS["findMany"]
+        if wrong:
+            raise QueryError(f"findMany takes no {', '.join(sorted(wrong))}")
+        if place in m.fields or place in m.relations:
+            raise QueryError(f"{m.name} has a field {place} of its own")
+        df, order, limited = self._rows(m, args)
+        order = self._settled(m, args, order, limited)
+        return self._shaped(paging.page(df, order, paging.take_of(args), paging.skip_of(args), m.tiebreak, bool(m.key), place), m, args, order, limited, [place])
 
     def _findFirst(self, model, args: dict) -> DataFrame:
         df, order, _ = self._rows(model, args, first=True)
         order = self._settled(model, args, order, True)
         take = paging.take_of(args)
-        return self._shaped(paging.page(df, order, 1 if take is None else min(take, 1), paging.skip_of(args)), model, args, order, True)
+        return self._shaped(paging.page(df, order, 1 if take is None else min(take, 1), paging.skip_of(args), model.tiebreak, bool(model.key)), model, args, order, True)
 
     def _findUnique(self, model, args: dict) -> DataFrame:
         where = args.get("where")
@@ -151,7 +163,7 @@ class Engine:
             df = self.predicates.filter(scan(self.tables, model), model, args.get("where"))
         else:
             df, order, _ = self._rows(model, args)
-            df = paging.page(df, order, take, paging.skip_of(args))
+            df = paging.page(df, order, take, paging.skip_of(args), model.tiebreak, bool(model.key))
         chosen = args.get("select") or {"_all": True}
         names = [n for n, v in chosen.items() if v] if isinstance(chosen, dict) else ["_all"]
         if not names:
@@ -171,7 +183,10 @@ class Engine:
         take = paging.take_of(args)
         if take is not None and take < 0 and not order:
             raise QueryError("a negative take needs an order", ("take",))
-        return paging.page(out, order, take, paging.skip_of(args)).select(*columns)
+        by = [args["by"]] if isinstance(args["by"], str) else args["by"]
+        kinds = dict(out.dtypes)  # sums of floats may differ in their last digits when groups are read again
+        again = all(k.column in by or kinds[k.column] not in ("float", "double") for k in order)
+        return paging.page(out, order, take, paging.skip_of(args), tuple(by) if again else ()).select(*columns)
 
     def attach_includes(self, df: DataFrame, model: str, include: dict) -> DataFrame:
         """Rows that are at hand already, with their relations."""

@@ -46,8 +46,7 @@ def add(name: str, sql: str | None, run: Callable[[Engine], DataFrame], nulls: b
 
 def many(name: str, model: str, args: dict, sql: str, nulls: bool = False, placed: bool = False, options: Options | None = None, method: str = "findMany") -> None:
     def run(engine: Engine) -> DataFrame:
-        df = engine.query(model, method, args)
-        return df.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1) if placed else df
+        return engine.numbered(model, args) if placed else engine.query(model, method, args)
 
     add(name, sql, run, nulls, options)
 

@@ -79,3 +79,16 @@ def test_buckets_are_even(spark):
     frame = spark.range(20000).select(F.when(F.col("id") > 5, "same").alias("s"), "id")
     counts = [r["count"] for r in places.bucketed(frame, [Key("s", True), Key("id")], True).groupBy("__bucket").count().collect()]
     assert sum(counts) == 20000 and len(counts) > 200 and max(counts) < 400
+
+
+@pytest.mark.parametrize(("way", "nulls"), [("asc", "first")])
+def test_o02_nulls(spark, way, nulls):
+    df = catalog_queries.QUERIES[f"o02_nulls_{way}_{nulls}"](spark, SF)
+    assert most(df) < 0.6
+    got = df.collect()
+    assert [r.position for r in got] == list(range(1, 14991))
+    priority = dict(spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW"))).collect())
+    some, none = sorted((p, k) for k, p in priority.items() if p), sorted((None, k) for k, p in priority.items() if p is None)
+    if way == "desc":
+        some = [r for v in sorted({p for p, _ in some}, reverse=True) for r in some if r[0] == v]
+    assert [r.key for r in got] == [k for _, k in (none + some if nulls == "first" else some + none)][10:]

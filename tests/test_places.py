@@ -81,7 +81,7 @@ def test_buckets_are_even(spark):
     assert sum(counts) == 20000 and len(counts) > 200 and max(counts) < 400
 
 
-@pytest.mark.parametrize(("way", "nulls"), [("asc", "first"), ("asc", "last"), ("desc", "first")])
+@pytest.mark.parametrize(("way", "nulls"), [("asc", "first"), ("asc", "last"), ("desc", "first"), ("desc", "last")])
 def test_o02_nulls(spark, way, nulls):
     df = catalog_queries.QUERIES[f"o02_nulls_{way}_{nulls}"](spark, SF)
     assert most(df) < 0.6

@@ -92,3 +92,12 @@ def test_o02_nulls(spark, way, nulls):
     if way == "desc":
         some = [r for v in sorted({p for p, _ in some}, reverse=True) for r in some if r[0] == v]
     assert [r.key for r in got] == [k for _, k in (none + some if nulls == "first" else some + none)][10:]
+
+
+def test_o03_default_nulls(spark):
+    df = catalog_queries.QUERIES["o03_default_nulls"](spark, SF)
+    assert most(df) < 0.6
+    got = df.collect()
+    assert [r.position for r in got] == list(range(1, 15001))
+    rows = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW"))).collect()
+    assert [r.key for r in got] == [k for v in (None, "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT") for k, p in sorted(rows, key=lambda r: r[0]) if p == v]

@@ -101,3 +101,20 @@ def test_o03_default_nulls(spark):
     assert [r.position for r in got] == list(range(1, 15001))
     rows = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW"))).collect()
     assert [r.key for r in got] == [k for v in (None, "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT") for k, p in sorted(rows, key=lambda r: r[0]) if p == v]
+
+
+def test_o03_enum_order(spark):
+    df = catalog_queries.QUERIES["o03_enum_order"](spark, SF)
+    assert most(df) < 0.6
+    got = df.collect()
+    assert [r.position for r in got] == list(range(1, 15001))
+    rows = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_orderstatus").collect()
+    assert [r.key for r in got] == [k for v in "OPF" for k, s in sorted(rows, key=lambda r: r[0]) if s == v]
+
+
+@pytest.mark.parametrize(("name", "rows"), [("o04_relation_order", 15000), ("d02_distinct_own_order", None)])
+def test_the_same_step(spark, name, rows):
+    df = catalog_queries.QUERIES[name](spark, SF)
+    assert most(df) < 0.6
+    got = df.collect()
+    assert [r.position for r in got] == list(range(1, (rows or len(got)) + 1)) and len({r.key for r in got}) == len(got) > 1000

@@ -11,12 +11,15 @@ import uuid
 from functools import reduce
 from operator import add
 
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes up to which a side of a join may be broadcast after its rows have been measured.
 BROADCAST_BYTES = 32 << 20
+#: Written tables of a run after which the driver gives memory back.
+REST_AFTER = 6
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,16 +50,35 @@ def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def rest(spark: SparkSession) -> str:
+    """Lets the driver's JVM collect garbage and give free memory back to the system; tells what it said.
+
+    Loops plan many small jobs. Each of their exchanges has a thread of its own for a minute, and the C library keeps what
+    threads and compilers have freed; a full collection shrinks the heap, a trim the rest.
+    """
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    jvm.System.gc()
+    try:  # by reflection: the server's own class is not open to Py4J
+        call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+        args = new(jvm.java.lang.Object, 4)
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        args[2], args[3] = new(jvm.java.lang.Object, 0), new(jvm.java.lang.String, 0)
+        return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+    except Py4JError:  # a JVM or C library without that command
+        return ""
+
+
 class Scratch:
     """Written tables of one operator run under the shared folder: they cut lineage and survive lost executors.
 
     ``drop`` removes tables that nothing later reads, ``only`` all but those that the result reads; these go when the
-    driver ends, or by ``close``.
+    driver ends, or by ``close``. With every ``REST_AFTER`` tables the driver gives memory back.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bounded_batches(spark)
         self.spark, self.base, self.names = spark, f"{shared_dir(spark)}/lattiq-{name}-{uuid.uuid4().hex[:12]}", set()
+        self.written = 0
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -65,6 +87,9 @@ class Scratch:
     def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
         self.names.add(name)
+        self.written += 1
+        if self.written % REST_AFTER == 0:
+            rest(self.spark)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -77,7 +102,7 @@ class Scratch:
         callers drop theirs before. Large jobs call it, as a driver may otherwise not collect garbage for long."""
         for _ in range(4):  # the JVM hears of frames that Python has dropped only after a while
             gc.collect()
-            self.spark._jvm.System.gc()
+            rest(self.spark)
             time.sleep(0.3)
 
     def only(self, *names: str) -> None:
